@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SIZES = {unit: 1024**power for power, unit in enumerate(("B", "KB", "MB", "GB", "TB", "PB"))}
@@ -12,6 +12,18 @@ _JVM_SIZES = {unit: 1024**power for power, unit in enumerate(("", "K", "M", "G",
 _DURATIONS_MS = {"ns": 1e-6, "us": 1e-3, "ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
 
 _NUMBER = r"^\s*(\d{1,15}(?:\.\d{1,6})?)\s*([A-Za-z%]{0,2})\s*$"
+_FACTOR = "decimal(22,6)"
+
+
+def _unit_table() -> dict[str, tuple[str, str | None, float]]:
+    """Unit text -> kind, name of the resulting unit, factor. JVM units have a prefix."""
+    return {
+        "": ("number", None, 1),
+        "%": ("percent", "share", 0.01),
+        **{unit: ("size", "bytes", factor) for unit, factor in _SIZES.items()},
+        **{unit: ("duration", "ms", factor) for unit, factor in _DURATIONS_MS.items()},
+        **{f"jvm {unit}": ("size", "bytes", factor) for unit, factor in _JVM_SIZES.items()},
+    }
 
 
 def glob_regex(globs) -> str:
@@ -25,47 +37,39 @@ def whole_match_regex(patterns) -> str:
     return r"(?is)^\s*(?:" + "|".join(patterns) + r")\s*$"
 
 
-def _lookup(unit: Column, factors: dict) -> Column:
-    chain = None
-    for name, factor in factors.items():
-        value = F.lit(format(factor, "f")).cast("decimal(22,6)")
-        chain = F.when(unit == name, value) if chain is None else chain.when(unit == name, value)
-    return chain
-
-
-def normalized(raw: Column, jvm: Column) -> Column:
-    """``struct<kind, num, unit>`` of a raw setting.
+def normalized(entries: DataFrame, jvm: Column, raw: str = "raw") -> DataFrame:
+    """Add ``kind, num, unit`` of a raw setting.
 
     Sizes become bytes (binary multiples), durations milliseconds, percentages a
     share, booleans 1 or 0. ``jvm`` is true where one-letter size suffixes are meant.
-    Digits are bounded so that no arithmetic on the result can overflow.
+    Digits are bounded so that no arithmetic on the result can overflow. Units are
+    looked up in a constant map, in steps, so that the generated code stays short.
     """
-    number = F.regexp_extract(raw, _NUMBER, 1).try_cast("decimal(21,6)")
-    unit = F.regexp_extract(raw, _NUMBER, 2)
-    flag = F.lower(F.trim(raw))
-    size = F.when(jvm, _lookup(F.upper(unit), _JVM_SIZES)).otherwise(_lookup(F.upper(unit), _SIZES))
-    duration = F.when(~jvm, _lookup(unit, _DURATIONS_MS))
-    kind = (
-        F.when(flag.isin("true", "false"), "boolean")
-        .when(number.isNull(), "text")
-        .when(unit == "%", "percent")
-        .when(size.isNotNull() & (unit != ""), "size")
-        .when(duration.isNotNull(), "duration")
-        .when(jvm & (unit == ""), "size")
-        .when(unit == "", "number")
-        .otherwise("text")
-    )
-    num = (
-        F.when(kind == "boolean", (flag == "true").cast("decimal(38,6)"))
-        .when(kind == "percent", (number / 100).cast("decimal(38,6)"))
-        .when(kind == "size", (number * size).cast("decimal(38,6)"))
-        .when(kind == "duration", (number * duration).cast("decimal(38,6)"))
-        .when(kind == "number", number.cast("decimal(38,6)"))
-    )
-    unit_name = (
-        F.when(kind == "size", "bytes").when(kind == "duration", "ms").when(kind == "percent", "share")
+    units = F.create_map(*[
+        item
+        for unit, (kind, name, factor) in _unit_table().items()
+        for item in (F.lit(unit), F.struct(
+            F.lit(kind).alias("kind"), F.lit(name).cast("string").alias("unit"),
+            F.lit(format(factor, "f")).cast(_FACTOR).alias("factor")))
+    ])
+    unit, flag = F.regexp_extract(raw, _NUMBER, 2), F.lower(F.trim(raw))
+    return (
+        entries.withColumns({
+            "_number": F.regexp_extract(raw, _NUMBER, 1).try_cast("decimal(21,6)"),
+            "_unit": F.when(jvm, F.concat(F.lit("jvm "), F.upper(unit))).otherwise(unit),
+            "_flag": F.when(flag.isin("true", "false"), flag),
+        })
+        .withColumn("_found", F.when(
+            F.col("_number").isNotNull() & F.col("_flag").isNull(),
+            F.coalesce(F.try_element_at(units, F.col("_unit")), F.try_element_at(units, F.upper("_unit")))))
+        .select(
+            *entries.columns,
+            F.when(F.col("_flag").isNotNull(), "boolean").otherwise(F.coalesce("_found.kind", F.lit("text"))).alias("kind"),
+            F.when(F.col("_flag").isNotNull(), (F.col("_flag") == "true").cast("decimal(38,6)"))
+            .otherwise((F.col("_number") * F.col("_found.factor")).cast("decimal(38,6)")).alias("num"),
+            F.col("_found.unit").alias("unit"),
+        )
     )
-    return F.struct(kind.alias("kind"), num.alias("num"), unit_name.alias("unit"))
 
 
 def plain_number(value: Column) -> Column:

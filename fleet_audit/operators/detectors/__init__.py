@@ -23,13 +23,14 @@ from fleet_audit.operators.detectors import (
     small_files,
     spilling,
 )
+from fleet_audit.operators.thresholds import Thresholds
 
 
 @dataclass(frozen=True)
 class Detector:
     name: str
     inputs: tuple[str, ...]
-    detect: Callable[[Mapping[str, DataFrame], DataFrame], DataFrame]
+    detect: Callable[[Mapping[str, DataFrame], DataFrame | Thresholds], DataFrame]
 
     @property
     def query_input(self) -> str:

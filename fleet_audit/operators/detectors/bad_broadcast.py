@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from fleet_audit.findings import to_findings
 from fleet_audit.functions.text import human_bytes
-from fleet_audit.operators.thresholds import with_thresholds
+from fleet_audit.operators.thresholds import Thresholds, with_thresholds
 
 NAME = "bad_broadcast"
 INPUTS = ("operators",)
 
 
-def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame) -> DataFrame:
+def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame | Thresholds) -> DataFrame:
     builds = (
         tables["operators"]
         .where("operator = 'join' and build_bytes is not null")

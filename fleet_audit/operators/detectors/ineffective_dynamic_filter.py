@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from fleet_audit.findings import to_findings
 from fleet_audit.functions.text import plain_number
-from fleet_audit.operators.thresholds import with_thresholds
+from fleet_audit.operators.thresholds import Thresholds, with_thresholds
 
 NAME = "ineffective_dynamic_filter"
 INPUTS = ("dynamic_filters",)
 
 
-def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame) -> DataFrame:
+def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame | Thresholds) -> DataFrame:
     filters = (
         tables["dynamic_filters"]
         .where("input_rows > 0")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleet_audit.findings import to_findings
+from fleet_audit.operators.thresholds import Thresholds
 
 NAME = "missing_stats"
 INPUTS = ("scans", "column_stats")
@@ -26,7 +27,7 @@ def tables_without_stats(column_stats: DataFrame) -> DataFrame:
     )
 
 
-def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame) -> DataFrame:
+def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame | Thresholds) -> DataFrame:
     reads = tables["scans"].select("fleet", "cluster", "query_id", "table_id").distinct()
     fired = reads.join(tables_without_stats(tables["column_stats"]), "table_id")
     return to_findings(

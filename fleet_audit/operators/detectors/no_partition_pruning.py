@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from fleet_audit.findings import to_findings
 from fleet_audit.functions.text import plain_number
 from fleet_audit.operators.predicates import classify_predicate
-from fleet_audit.operators.thresholds import with_thresholds
+from fleet_audit.operators.thresholds import Thresholds, with_thresholds
 
 NAME = "no_partition_pruning"
 INPUTS = ("scans", "table_files")
 
 
-def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame) -> DataFrame:
+def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame | Thresholds) -> DataFrame:
     scans = classify_predicate(tables["scans"])
     scanned = scans.groupBy("fleet", "cluster", "query_id", "table_id").agg(
         F.countDistinct("part").alias("scanned"),

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from fleet_audit.findings import to_findings
 from fleet_audit.functions.text import ratio_text
 from fleet_audit.operators.median import grouped_median
-from fleet_audit.operators.thresholds import with_thresholds
+from fleet_audit.operators.thresholds import Thresholds, with_thresholds
 
 NAME = "skew"
 INPUTS = ("tasks",)
 
 
-def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame) -> DataFrame:
+def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame | Thresholds) -> DataFrame:
     stages = (
         grouped_median(tables["tasks"], ["fleet", "cluster", "query_id", "stage_id"], "wall_ms")
         .where("median > 0")

@@ -12,8 +12,7 @@ from fleet_audit.sources.parsers import JVM_FILES
 
 def normalize_values(entries: DataFrame) -> DataFrame:
     """Add ``kind, num, unit`` to every entry."""
-    parsed = normalized(F.col("raw"), F.col("file").rlike(JVM_FILES))
-    return entries.withColumn("_n", parsed).select(*entries.columns, "_n.*")
+    return normalized(entries, F.col("file").rlike(JVM_FILES))
 
 
 def rules_in_scope(rules: DataFrame, scopes: list[str] | None) -> DataFrame:

@@ -12,6 +12,7 @@ from fleet_audit.findings import all_findings
 from fleet_audit.functions.nesting import ROWS_PER_PART, nest_rows
 from fleet_audit.operators.detectors import Detector, registry
 from fleet_audit.operators.detectors.not_the_querys_fault import NAME as QUEUED
+from fleet_audit.operators.thresholds import Thresholds
 
 _QUERY = ["cluster", "query_id"]
 
@@ -23,14 +24,15 @@ def runnable(tables: Mapping[str, DataFrame], detectors: Mapping[str, Detector]
 
 def analyze_queries(
     tables: Mapping[str, DataFrame],
-    thresholds: DataFrame,
+    thresholds: DataFrame | Thresholds,
     detectors: Mapping[str, Detector] | None = None,
 ) -> DataFrame:
     """Findings of every detector that has its inputs, over every query at once."""
     chosen = runnable(tables, detectors)
     if not chosen:
         raise ValueError("no detector has its input tables")
-    return all_findings(*[d.detect(tables, thresholds) for d in chosen.values()])
+    limits = Thresholds.of(thresholds)
+    return all_findings(*[d.detect(tables, limits) for d in chosen.values()])
 
 
 def detector_coverage(
@@ -65,15 +67,15 @@ def detector_coverage(
 
 def query_reports(
     tables: Mapping[str, DataFrame],
-    thresholds: DataFrame,
+    findings: DataFrame,
     detectors: Mapping[str, Detector] | None = None,
     rows_per_part: int = ROWS_PER_PART,
 ) -> DataFrame:
     """One row per query: state, detectors run and skipped, and its findings, first things first.
 
-    Findings beyond ``rows_per_part`` continue in rows with a higher ``part``.
+    Give it findings that were written to a store: they are read twice, once to size
+    the rows. Findings beyond ``rows_per_part`` continue in rows with a higher ``part``.
     """
-    findings = analyze_queries(tables, thresholds, detectors)
     item = F.struct(
         finding_rank().alias("rank"), "rule_id", "severity", "property", "actual", "expected",
         "rationale", "rationale_source", "evidence", "doc_ref",

@@ -94,6 +94,11 @@ def _matched(entries: DataFrame, rules: DataFrame, snapshot: DataFrame, rows: li
     )
 
 
+def entries_per_rule(entries: DataFrame, rules: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Entries next to the rules that apply to them by property, role and version."""
+    return _matched(entries, rules, snapshot, bounded_rows(rules, "the rule catalogue"))
+
+
 def _passes(rows: list) -> list[list]:
     checks = sorted({r.check for r in rows})
     groups = [set(checks[i:i + CHECKS_PER_PASS]) for i in range(0, len(checks), CHECKS_PER_PASS)]

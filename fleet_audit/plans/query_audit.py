@@ -13,6 +13,7 @@ from fleet_audit.operators.detectors.exploding_join import join_fanout
 from fleet_audit.operators.predicates import classify_predicate
 from fleet_audit.operators.thresholds import with_thresholds
 from fleet_audit.plans import oracle, standins
+from fleet_audit.sources.stores import materialize
 
 C = F.col
 
@@ -46,7 +47,9 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = report.query_reports(standins.telemetry(spark, sf_dir), standins.thresholds(spark))
+    frames = standins.telemetry(spark, sf_dir)
+    findings = materialize(report.analyze_queries(frames, standins.thresholds(spark)))
+    reports = report.query_reports(frames, findings)
     joined = lambda c: F.array_join(c, ",")
     return reports.select(
         "cluster", "query_id", "query_state", joined("detectors_run").alias("detectors_run"),

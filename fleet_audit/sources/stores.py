@@ -25,6 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/fleet-audit-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    For results used several times: they are computed once, their lineage ends, and a
+    lost executor costs one read.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_snapshots(snapshots: DataFrame, path: str) -> None:
     """Append saved query documents, by cluster and day of capture.
 
