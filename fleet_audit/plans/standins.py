@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleet_audit import schemas
-from fleet_audit.operators.thresholds import default_thresholds, with_overrides
+from fleet_audit import fixed_values, schemas
 from fleet_audit.sources.catalog import prepare_rules
 
 C = F.col
@@ -40,8 +39,16 @@ OVERRIDES = (
 )
 
 
+_RESOLVED: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; its schema and files are looked up once per session, as a catalog would."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _RESOLVED:
+        _RESOLVED[key] = spark.read.parquet(path)
+    return _RESOLVED[key]
 
 
 def rules(spark: SparkSession) -> DataFrame:
@@ -49,7 +56,9 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def thresholds(spark: SparkSession) -> DataFrame:
-    return with_overrides(default_thresholds(spark), spark.createDataFrame(OVERRIDES, schemas.THRESHOLDS))
+    rows = {(d, None, n): v for d, n, v in fixed_values.DEFAULT_THRESHOLDS}
+    rows |= {(d, fleet, n): v for d, fleet, n, v in OVERRIDES}
+    return spark.createDataFrame([(*key, float(v)) for key, v in rows.items()], schemas.THRESHOLDS)
 
 
 def _text(prefix: str, value: Column) -> Column:

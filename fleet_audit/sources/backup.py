@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from fleet_audit import fixed_values
 
 _ROLES = "|".join(fixed_values.BACKUP_ROLES)
-_LAYOUT = rf"/configs/([^/]+)/({_ROLES})/(.+)$"
+_LAYOUT = rf"/configs/(?:cluster=)?([^/]+)/(?:role=)?({_ROLES})/(.+)$"
 
 
 def read_config_backup(spark: SparkSession, root: str, nodes_in_path: bool = False) -> DataFrame:
     """Every file below ``<root>/configs/<cluster>/<role>/`` as one row (``config_files``).
 
     ``root`` is any path Spark can read, local or object store; executors read in
-    parallel and nothing is listed on the driver beyond Spark's own file index. The
-    layout has no node level, so ``node`` is the role; with ``nodes_in_path`` the
+    parallel and nothing is listed on the driver beyond Spark's own file index.
+    Directories may also be named ``cluster=<cluster>/role=<role>``. The layout has no node level, so ``node`` is the role; with ``nodes_in_path`` the
     first directory below the role names the node.
     """
     files = (
