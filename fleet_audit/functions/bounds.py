@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 #: Largest catalogue-like table (rules, signals, patterns) read into the plan itself.
 MAX_CATALOGUE_ROWS = 5_000
 
+#: Most rows of narrow keys sent to every executor.
+MAX_BROADCAST_ROWS = 100_000
+
 
 class TooLargeError(ValueError):
     """A table that must be small is not."""
@@ -21,3 +25,16 @@ def bounded_rows(df: DataFrame, what: str, limit: int = MAX_CATALOGUE_ROWS) -> l
     if len(rows) > limit:
         raise TooLargeError(f"{what} has more than {limit} rows")
     return rows
+
+
+def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Narrow keys marked for broadcast once they are counted; unchanged when there are more.
+
+    For the small side of a join whose other side is too wide to shuffle. A side beyond
+    the limit joins by key like any other. ``df`` is computed once when it is small and
+    twice when it is not, so it should come from a written table.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -5,31 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleet_audit.functions.bounds import MAX_CATALOGUE_ROWS
+
 #: Most rows nested into one array by default.
 ROWS_PER_PART = 10_000
 
 
+def _parts(items: DataFrame, keys: list[str], rows_per_part: int, limit: int) -> DataFrame:
+    """``items`` with ``parts``: over how many rows the items of their key are spread.
+
+    Keys are counted first. Mostly none is too large, and then nothing is joined. A few
+    large ones are broadcast after that count; more of them are joined by key.
+    """
+    large = (
+        items.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("parts"))
+        .where("parts > 1")
+    )
+    rows = large.limit(limit + 1).collect()
+    if not rows:
+        return items.withColumn("parts", F.lit(1))
+    known = large if len(rows) > limit else F.broadcast(items.sparkSession.createDataFrame(rows, large.schema))
+    return items.join(known, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
 def nest_rows(
-    df: DataFrame, keys: list[str], item: Column, name: str, rows_per_part: int = ROWS_PER_PART
+    df: DataFrame,
+    keys: list[str],
+    item: Column,
+    name: str,
+    rows_per_part: int = ROWS_PER_PART,
+    broadcast_limit: int = MAX_CATALOGUE_ROWS,
 ) -> DataFrame:
     """``keys, part, parts, <name>`` with the items of a key as sorted arrays.
 
     A key with up to ``rows_per_part`` rows gives one row (part 0 of 1). A larger one
     is spread by the hash of the item over as many rows as needed, so no task holds
     more than a small multiple of ``rows_per_part`` items, and nothing is dropped.
-    Items must differ within a key, as copies of one item share its part.
+    Copies of one item share its part. ``df`` is read twice, once for the keys alone.
     """
-    items = df.select(*keys, item.alias("_item"))
-    sizes = (
-        items.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("parts"))
-        .where("parts > 1")
-    )
+    items = _parts(df.select(*keys, item.alias("_item")), keys, rows_per_part, broadcast_limit)
     return (
-        items.join(sizes, keys, "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("part", F.pmod(F.xxhash64("_item"), F.col("parts")).cast("int"))
+        items.withColumn("part", F.pmod(F.xxhash64("_item"), F.col("parts")).cast("int"))
         .groupBy(*keys, "part", "parts")
         .agg(F.sort_array(F.collect_list("_item")).alias(name))
     )

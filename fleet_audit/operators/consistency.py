@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from fleet_audit.findings import to_findings
 from fleet_audit.functions.text import human_bytes
+from fleet_audit.sources.parsers import JVM_FILES
 
 
 def heap_ranges(entries: DataFrame) -> DataFrame:
     """Least and largest heap of coordinators and of workers, one row per cluster."""
-    heaps = entries.where("key = '-Xmx' and num is not null and role in ('coordinator', 'worker')")
+    heaps = entries.where(
+        F.col("file").rlike(JVM_FILES) & F.expr("key = '-Xmx' and num is not null and role in ('coordinator', 'worker')")
+    )
     aggregates = [
         agg(F.when(F.col("role") == role, F.col("num"))).alias(f"{role}_{name}")
         for role in ("coordinator", "worker")

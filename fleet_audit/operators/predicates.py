@@ -14,12 +14,13 @@ def classify_predicate(scans: DataFrame) -> DataFrame:
     A predicate wraps the column when a function call or cast has it among its
     arguments, which hides it from partition pruning.
     """
-    column = F.concat(F.lit(r"\b\Q"), F.col("partition_column"), F.lit(r"\E\b"))
+    predicate, name = F.col("predicate"), F.col("partition_column")
+    column = F.concat(F.lit(r"\b\Q"), name, F.lit(r"\E\b"))
     call = F.concat(F.lit(r"(?is)\b" + _NOT_A_CALL + r"[a-z_]\w*\s*\([^()]*"), column)
-    mentioned = F.regexp_like(F.col("predicate"), F.concat(F.lit("(?is)"), column))
+    # Plain text searches spare most rows the regular expressions.
+    mentioned = F.contains(F.lower(predicate), F.lower(name)) & F.regexp_like(predicate, F.concat(F.lit("(?is)"), column))
+    wrapped = F.contains(predicate, F.lit("(")) & F.regexp_like(predicate, call)
     return scans.withColumn(
         "predicate_class",
-        F.when(F.col("predicate").isNull() | ~mentioned, "no_predicate")
-        .when(F.regexp_like(F.col("predicate"), call), "wrapped_predicate")
-        .otherwise("other"),
+        F.when(F.coalesce(~mentioned, F.lit(True)), "no_predicate").when(wrapped, "wrapped_predicate").otherwise("other"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleet_audit import fixed_values
 from fleet_audit.findings import to_findings
+from fleet_audit.functions.bounds import broadcast_if_small
 from fleet_audit.functions.text import glob_regex, whole_match_regex
 from fleet_audit.sources.parsers import (
     JSON_FILES,
@@ -76,11 +77,16 @@ def config_detail(
     role: str | None = None,
     file: str | None = None,
 ) -> DataFrame:
-    """Content of files that passed verification; any file with a violation is absent."""
+    """Content of files that passed verification; any file with a violation is absent.
+
+    Files with violations are few and are broadcast after a count, which spares the
+    contents a shuffle; should they be many, they are joined by key.
+    """
     wanted = files
     for name, value in (("cluster", cluster), ("role", role), ("file", file)):
         if value is not None:
             wanted = wanted.where(F.col(name) == value)
-    return wanted.join(violations.select(*_FILE).distinct(), _FILE, "left_anti").select(
+    refused = broadcast_if_small(violations.select(*_FILE).distinct())
+    return wanted.join(refused, _FILE, "left_anti").select(
         *_FILE, "content", F.lit(True).alias("redaction_verified")
     )

@@ -18,6 +18,7 @@ from fleet_audit.functions.versions import version_in_gate
 from fleet_audit.operators.normalize import rules_in_scope
 from fleet_audit.operators.redaction import shown_value
 from fleet_audit.schemas import FINDINGS
+from fleet_audit.sources.parsers import JVM_FILES
 
 #: Distinct checks compiled into one projection; a larger catalogue takes more passes.
 CHECKS_PER_PASS = 200
@@ -29,7 +30,7 @@ _PLAIN = r"^\s*(?:value|text)\s*(<=|>=|<|>|=)\s*(\d+(?:\.\d+)?|'[^']*')\s*$"
 def node_facts(entries: DataFrame) -> DataFrame:
     """``cluster, role, node, jvm_heap``; the last ``-Xmx`` of a node counts."""
     return (
-        entries.where("key = '-Xmx' and num is not null")
+        entries.where(F.col("file").rlike(JVM_FILES) & (F.col("key") == "-Xmx") & F.col("num").isNotNull())
         .groupBy("cluster", "role", "node")
         .agg(F.max_by("num", "line").alias("jvm_heap"))
     )

@@ -71,17 +71,14 @@ def estimate_scan(
     paired with partitions. Cost is bytes times the share of the columns read.
     """
     ranges = scans.select("table_id", "low", "high").distinct()
-    bounds = ranges.select(
-        "table_id", F.explode(F.array(F.col("low") - 1, F.col("high"))).alias("at")
-    ).distinct()
-    sums = _running_bytes(table_files, bounds)
-    high = sums.select("table_id", F.col("at").alias("high"), F.col("bytes_to").alias("bh"), F.col("parts_to").alias("ph"))
-    low = sums.select("table_id", (F.col("at") + 1).alias("low"), F.col("bytes_to").alias("bl"), F.col("parts_to").alias("pl"))
-    sized = (
-        ranges.join(high, ["table_id", "high"]).join(low, ["table_id", "low"])
-        .select("table_id", "low", "high",
-                F.greatest(F.col("bh") - F.col("bl"), F.lit(0)).alias("estimated_scan_bytes"),
-                F.greatest(F.col("ph") - F.col("pl"), F.lit(0)).alias("partitions"))
+    ends = F.array(
+        F.struct((F.col("low") - 1).alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("high").alias("at"), F.lit(1).alias("sign"))
+    )
+    bounds = ranges.select("table_id", "low", "high", F.explode(ends).alias("_e")).select("table_id", "low", "high", "_e.*")
+    sums = _running_bytes(table_files, bounds.select("table_id", "at"))
+    difference = lambda c: F.greatest(F.sum(F.col(c) * F.col("sign")), F.lit(0))
+    sized = bounds.join(sums, ["table_id", "at"]).groupBy("table_id", "low", "high").agg(
+        difference("bytes_to").alias("estimated_scan_bytes"), difference("parts_to").alias("partitions")
     )
     known = table_files.select("table_id").distinct().withColumn("listed", F.lit(True))
     estimated = scans.join(sized, ["table_id", "low", "high"]).join(known, "table_id", "left")

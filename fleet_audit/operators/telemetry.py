@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleet_audit.functions.bounds import broadcast_if_small
 from fleet_audit.functions.nesting import ROWS_PER_PART, nest_rows
 
 _QUERY = ["cluster", "query_id"]
@@ -57,8 +58,9 @@ def fetch_if_fired(findings: DataFrame, rule_ids: list[str], detail: DataFrame,
     """Detail rows of what fired, such as the tasks of skewed stages.
 
     ``on`` maps columns of ``detail`` to finding columns (evidence fields by name). The
-    fired keys are made distinct before the semi join, which adds no rows; their size at
-    run time decides whether they are broadcast.
+    fired keys are made distinct and counted: a small number is broadcast, so that the
+    detail table is not shuffled, a large one is joined by key. Either way the semi join
+    adds no rows. Give it findings that were written to a store.
     """
     fired = (
         findings.where(F.col("rule_id").isin(rule_ids))
@@ -68,4 +70,4 @@ def fetch_if_fired(findings: DataFrame, rule_ids: list[str], detail: DataFrame,
         ])
         .distinct()
     )
-    return detail.join(fired, list(on), "left_semi")
+    return detail.join(broadcast_if_small(fired), list(on), "left_semi")

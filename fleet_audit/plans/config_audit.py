@@ -37,7 +37,7 @@ def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _snapshot(spark: SparkSession, sf_dir: str, hinted: bool = True) -> DataFrame:
     files = standins.config_files(spark, sf_dir)
     context = _context(spark, sf_dir) if hinted else None
-    return versions.config_snapshot(files, parsers.parse_all(files), context)
+    return versions.config_snapshot(files, parsers.properties_entries(files), context)
 
 
 def _with_lines(entries: DataFrame) -> DataFrame:
