@@ -14,6 +14,7 @@ from fleet_audit import fixed_values, schemas
 from fleet_audit.sources.catalog import prepare_rules
 
 C = F.col
+_KEYS = ("fleet", "cluster", "query_id")
 
 RULES = (
     ("MEM-001", "memory", ("coordinator", ">=413"), "query.max-memory-per-node", "value <= 0.3 * jvm_heap",
@@ -189,8 +190,11 @@ def query_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _operator_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the columns of operators, tasks, scans and scanned files."""
     flag = C("l_returnflag")
+    predicate = F.when(flag == "A", "year(ds) = 1997").when(flag == "N", "cast(ds as varchar) = '1997'").when(
+        C("l_linestatus") == "O", "ds = date '1997-01-01'")
     return table(spark, sf_dir, "lineitem").select(
         *_query_keys("l_orderkey"),
         _text("s", C("l_linenumber") % 2).alias("stage_id"),
@@ -201,11 +205,17 @@ def _operator_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (C("l_suppkey") * 1048576).alias("build_bytes"),
         F.when(C("l_discount") >= 0.1, F.floor(C("l_extendedprice"))).otherwise(0).alias("spilled_bytes"),
         C("l_extendedprice").alias("wall_ms"),
+        _text("t", C("l_partkey") % 7).alias("table_id"),
+        (C("l_linenumber") % 2).cast("bigint").alias("part"),
+        F.lit("ds").alias("partition_column"), predicate.alias("predicate"),
+        _text("f", C("l_linenumber")).alias("file_id"),
+        (F.floor(C("l_quantity")) * 1048576).alias("bytes"),
     )
 
 
 def operators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _operator_rows(spark, sf_dir).drop("wall_ms")
+    return scan_rows(spark, sf_dir).select(
+        *_KEYS, "stage_id", "operator_id", "operator", "input_rows", "output_rows", "build_bytes", "spilled_bytes")
 
 
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,24 +242,11 @@ def event_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = C("l_returnflag")
-    predicate = F.when(flag == "A", "year(ds) = 1997").when(flag == "N", "cast(ds as varchar) = '1997'").when(
-        C("l_linestatus") == "O", "ds = date '1997-01-01'")
-    return table(spark, sf_dir, "lineitem").select(
-        *_query_keys("l_orderkey"),
-        _text("t", C("l_partkey") % 7).alias("table_id"),
-        (C("l_linenumber") % 2).cast("bigint").alias("part"),
-        F.lit("ds").alias("partition_column"), predicate.alias("predicate"),
-    )
+    return scan_rows(spark, sf_dir).select(*_KEYS, "table_id", "part", "partition_column", "predicate")
 
 
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
-        *_query_keys("l_orderkey"),
-        _text("t", C("l_partkey") % 7).alias("table_id"),
-        _text("f", C("l_linenumber")).alias("file_id"),
-        (F.floor(C("l_quantity")) * 1048576).alias("bytes"),
-    )
+    return scan_rows(spark, sf_dir).select(*_KEYS, "table_id", "file_id", "bytes")
 
 
 def table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,23 +292,31 @@ def event_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_of_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON document per query, nested from its stages, operators and tasks.
+    """One JSON document per query, nested from its stages, operators, tasks, scans and filters.
 
     A document holds the line items of one order, which are few.
     """
-    op = _operator_rows(spark, sf_dir)
-    stage = op.groupBy("fleet", "cluster", "query_id", "stage_id").agg(
+    item = scan_rows(spark, sf_dir)
+    stage = item.groupBy("fleet", "cluster", "query_id", "stage_id").agg(
         F.sum("input_rows").alias("input_rows"),
         F.sum("output_rows").alias("output_rows"),
         F.collect_list(F.struct("operator_id", "operator", "input_rows", "output_rows", "build_bytes",
                                 "spilled_bytes")).alias("operators"),
-        F.collect_list(F.struct(F.col("operator_id").alias("task_id"), "wall_ms")).alias("tasks"),
+        F.collect_list(F.struct(C("operator_id").alias("task_id"), "wall_ms")).alias("tasks"),
+        F.collect_list(F.struct(
+            C("table_id").alias("table"), C("part").alias("partition"), "partition_column", "predicate",
+            F.array(F.struct(C("file_id").alias("path"), "bytes")).alias("files"))).alias("scans"),
     )
     nested = stage.groupBy("fleet", "cluster", "query_id").agg(
-        F.collect_list(F.struct("stage_id", "input_rows", "output_rows", "operators", "tasks")).alias("stages")
+        F.collect_list(F.struct("stage_id", "input_rows", "output_rows", "operators", "tasks")).alias("stages"),
+        F.flatten(F.collect_list("scans")).alias("scans"),
     )
-    body = F.to_json(F.struct("state", "elapsed_ms", "queued_ms", "peak_memory", "stages"))
-    return query_info(spark, sf_dir).join(nested, ["fleet", "cluster", "query_id"]).select(
-        "fleet", "cluster", "query_id", F.lit("2024-02-01 00:00:00").cast("timestamp").alias("captured_at"),
-        F.lit(1).cast("long").alias("snapshot_id"), body.alias("document"),
+    filters = dynamic_filters(spark, sf_dir).select("query_id", F.array(F.struct(
+        C("filter_id").alias("id"), "input_rows", "output_rows")).alias("dynamic_filters"))
+    body = F.to_json(F.struct("state", "elapsed_ms", "queued_ms", "peak_memory", "stages", "scans", "dynamic_filters"))
+    return (
+        query_info(spark, sf_dir).join(nested, ["fleet", "cluster", "query_id"]).join(filters, "query_id", "left")
+        .select(
+            "fleet", "cluster", "query_id", F.lit("2024-02-01 00:00:00").cast("timestamp").alias("captured_at"),
+            F.lit(1).cast("long").alias("snapshot_id"), body.alias("document"))
     )

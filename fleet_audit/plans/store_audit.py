@@ -146,7 +146,7 @@ def ingested_stream(spark, sf_dir):
     root, snapshots = stores.shared_folder(spark), standins.event_snapshots(spark, sf_dir)
     snapshots.repartitionByRange(5, F.desc("snapshot_id")).write.json(f"{root}/landing")
     stream = ingest.snapshot_stream(spark, f"{root}/landing", files_per_batch=1)
-    ingest.ingest_snapshots_stream(stream, f"{root}/store", f"{root}/checkpoint").awaitTermination()
+    ingest.ingest_snapshots_stream(stream, f"{root}/store", f"{root}/checkpoint", writers=1).awaitTermination()
     saved = stores.read_snapshots(spark, f"{root}/store").select(
         C("cluster").cast("string").alias("cluster"), "query_id", "captured_at", "snapshot_id", "document")
     last = telemetry.latest_snapshot(saved).select("cluster", "query_id", "snapshot_id", "document")
@@ -159,7 +159,9 @@ def analyzed_stream(spark, sf_dir):
     root = stores.shared_folder(spark)
     standins.documents_of_queries(spark, sf_dir).repartition(4, "query_id").write.json(f"{root}/landing")
     stream = ingest.snapshot_stream(spark, f"{root}/landing", schema="fleet string, " + schemas.SNAPSHOT_RECORD, files_per_batch=2)
-    ingest.analyze_stream(stream, f"{root}/found", f"{root}/checkpoint", standins.thresholds(spark)).awaitTermination()
+    references = {"table_files": standins.table_files(spark, sf_dir), "column_stats": standins.column_stats(spark, sf_dir)}
+    ingest.analyze_stream(
+        stream, f"{root}/found", f"{root}/checkpoint", standins.thresholds(spark), references).awaitTermination()
     return brief(spark.read.schema(schemas.FINDINGS).parquet(f"{root}/found"))
 
 
@@ -186,14 +188,13 @@ _T = oracle.TELEMETRY
 _DOC_KEYS = "fleet, cluster, query_id"
 # Only queries with line items have a document.
 _HAS_ITEMS = "query_id in (select query_id from operators)"
-_STREAM_DETECTORS = ("exploding_join", "bad_broadcast", "skew", "spilling", "not_the_querys_fault")
 
 QUERIES = {
     "read_config_backup": config_backup,
     "read_rules": rule_catalogue,
     "doc_ref": document_references,
     "read_query_snapshots": query_documents,
-    **{f"flatten_query_{name}": _flat(name) for name in ("query_info", "stages", "operators", "tasks")},
+    **{f"flatten_query_{name}": _flat(name) for name in queries.ARRAYS},
     "fill_from_runtime": runtime_fill,
     "read_table_metadata": table_metadata,
     "read_context": context_rows,
@@ -243,6 +244,14 @@ ORACLES = {
         select concat('f', l_orderkey % 5) as fleet, concat('c', l_orderkey % 25) as cluster, concat('q', l_orderkey) as query_id,
                concat('s', l_linenumber % 2) as stage_id, concat('op', l_linenumber) as task_id,
                l_extendedprice as wall_ms from lineitem""",
+    "flatten_query_scans": f"""
+        select {oracle.keys('l_orderkey')}, concat('t', l_partkey % 7) as table_id, cast(l_linenumber % 2 as bigint) as part,
+               'ds' as partition_column, case when l_returnflag = 'A' then 'year(ds) = 1997'
+                 when l_returnflag = 'N' then 'cast(ds as varchar) = ''1997'''
+                 when l_linestatus = 'O' then 'ds = date ''1997-01-01''' end as predicate from lineitem""",
+    "flatten_query_scan_files": oracle.with_ctes(_T, ["scan_files"], "select * from scan_files"),
+    "flatten_query_dynamic_filters": oracle.with_ctes(
+        _T, ["dynamic_filters", "operators"], f"select * from dynamic_filters where {_HAS_ITEMS}"),
     "fill_from_runtime": oracle.with_ctes(_T, ["query_info"], "select * from query_info"),
     "read_table_metadata": oracle.with_ctes(_T, ["table_files", "column_stats"], """
         select f.table_id, part, format, count(*) as files, count(*) filter (format = 'PARQUET') as paths,
@@ -271,11 +280,11 @@ ORACLES = {
     "analyze_stream": oracle.with_ctes(
         {**_T,
          "info": f"select * from ({_T['query_info']}) where query_id in (select concat('q', l_orderkey) from lineitem)",
+         "filters": f"select * from ({_T['dynamic_filters']}) where query_id in (select concat('q', l_orderkey) from lineitem)",
          "all_tasks": _T["tasks"].replace("where l_linestatus = 'F'", "").replace("concat('t', l_linenumber)", "concat('op', l_linenumber)")},
-        ["operators", "info", "all_tasks"],
-        " union all ".join(
-            f"({oracle.DETECTED[d].replace('from query_info', 'from info').replace('from tasks', 'from all_tasks')})"
-            for d in _STREAM_DETECTORS)),
+        ["operators", "info", "filters", "all_tasks", "scans", "scan_files", "table_files", "column_stats"],
+        " union all ".join("(" + sql.replace("from query_info", "from info").replace("from tasks", "from all_tasks")
+                           .replace("from dynamic_filters", "from filters") + ")" for sql in oracle.DETECTED.values())),
     "retention_risk": """
         select concat('q', o_custkey) as query_id, o_orderkey, case o_orderstatus when 'F' then 'FINISHED' else 'FAILED' end as state
         from orders where o_orderstatus <> 'O' and o_custkey not in (select user_id from events)
