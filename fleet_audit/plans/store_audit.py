@@ -148,7 +148,7 @@ def ingested_stream(spark, sf_dir):
     stream = ingest.snapshot_stream(spark, f"{root}/landing", files_per_batch=1)
     ingest.ingest_snapshots_stream(stream, f"{root}/store", f"{root}/checkpoint", writers=1).awaitTermination()
     saved = stores.read_snapshots(spark, f"{root}/store").select(
-        C("cluster").cast("string").alias("cluster"), "query_id", "captured_at", "snapshot_id", "document")
+        "cluster", "query_id", "captured_at", "snapshot_id", "document")
     last = telemetry.latest_snapshot(saved).select("cluster", "query_id", "snapshot_id", "document")
     counts = saved.groupBy("cluster", "query_id").agg(F.count(F.lit(1)).alias("captures"))
     return last.join(counts, ["cluster", "query_id"])

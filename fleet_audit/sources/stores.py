@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fleet_audit import schemas
 
 
 _LOCAL: list[str] = []
@@ -50,8 +53,13 @@ def write_snapshots(snapshots: DataFrame, path: str) -> None:
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot store; a filter on cluster or day prunes directories."""
-    return spark.read.option("basePath", path).parquet(path)
+    """The snapshot store; a filter on cluster or day prunes directories.
+
+    Cluster names stay text, whatever they look like.
+    """
+    found = spark.read.parquet(path).schema
+    named = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "cluster" else f for f in found.fields])
+    return spark.read.schema(named).parquet(path)
 
 
 def write_findings(findings: DataFrame, path: str, run_id: str) -> None:
@@ -64,4 +72,4 @@ def write_findings(findings: DataFrame, path: str, run_id: str) -> None:
 
 
 def read_findings(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("run_id") == run_id)
+    return spark.read.schema(f"{schemas.FINDINGS}, run_id string").parquet(path).where(F.col("run_id") == run_id)

@@ -28,7 +28,7 @@ def test_shared_folder_is_the_one_the_session_names(spark):
 def test_snapshot_store_appends_and_prunes(spark, tmp_path):
     def rows(n):
         return spark.range(n).select(
-            F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("cluster"),
+            F.concat(F.lit("00"), (F.col("id") % 3).cast("string")).alias("cluster"),
             F.col("id").cast("string").alias("query_id"), F.timestamp_seconds(F.col("id") * 40000).alias("captured_at"),
             F.col("id").alias("snapshot_id"), F.lit("{}").alias("document"))
 
@@ -36,7 +36,7 @@ def test_snapshot_store_appends_and_prunes(spark, tmp_path):
     stores.write_snapshots(rows(5), str(tmp_path))
     read = stores.read_snapshots(spark, str(tmp_path))
     assert read.count() == 15
-    pruned = read.where("cluster = 'c1'")
+    pruned = read.where("cluster = '001'")
     assert pruned.count() == 5
     assert "PartitionFilters: [isnotnull(cluster" in pruned._jdf.queryExecution().toString()
 
