@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleet_audit.functions.bounds import MAX_BROADCAST_ROWS
+
+#: Rows of one group that a single task may hold.
+ROWS_PER_TASK = 100_000
+
 _BUCKETS_PER_DOUBLING = 256
 
 
@@ -15,42 +20,48 @@ def _bucket(value: Column) -> Column:
     return (F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * _BUCKETS_PER_DOUBLING)).cast("int")
 
 
-def grouped_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, rows, max_value, median``: the interpolated median and largest value.
+def _same(a: DataFrame, b: DataFrame, keys: list[str], prefix: str) -> Column:
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"{prefix}{k}"]) for k in keys])
 
-    ``percentile`` keeps every distinct value of a group in one task. Here the rows
-    are first counted per (group, bucket, value), combined on the map side, so a hot
-    group is spread over all tasks. A histogram of buckets, bounded in size, then
-    tells which one or two buckets hold the middle, and only these are ordered.
-    """
-    values = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, _bucket(F.col(value)).alias("_bucket"), F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+
+def _direct(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.max(value).alias("max_value"), F.percentile(value, 0.5).alias("median")
     )
+
+
+def _by_histogram(df: DataFrame, keys: list[str], value: str, few_groups: bool) -> DataFrame:
+    """The median from a histogram, bounded in size per group and combined on the map side.
+
+    The histogram tells which one or two buckets hold the middle. Only their values are
+    counted and ordered. ``few_groups`` says that the groups were counted and found few;
+    then the middle, two rows per group at most, is broadcast.
+    """
+    bucketed = df.select(*keys, F.col(value).alias("_value"), _bucket(F.col(value)).alias("_bucket"))
     group = Window.partitionBy(*keys)
     running = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = ["_before", "rows", "max_value", "_low", "_high"]
     middle = (
-        values.groupBy(*keys, "_bucket")
-        .agg(F.sum("_n").alias("_n"), F.max("_value").alias("_max"))
+        bucketed.groupBy(*keys, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("_value").alias("_max"))
         .withColumn("_before", F.sum("_n").over(running) - F.col("_n"))
         .withColumn("rows", F.sum("_n").over(group))
         .withColumn("max_value", F.max("_max").over(group))
         .withColumn("_low", F.floor((F.col("rows") - 1) / 2))
         .withColumn("_high", F.floor(F.col("rows") / 2))
         .where("_before <= _high and _before + _n > _low")
-        .select(*[F.col(k).alias(f"_at_{k}") for k in (*keys, "_bucket")],
-                "_before", "rows", "max_value", "_low", "_high")
-    )
-    matched = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in (*keys, "_bucket")]
+        .select(*[F.col(k).alias(f"_at_{k}") for k in (*keys, "_bucket")], *place)
     )
+    # Counted per value before anything is joined or ordered, so copies of one value cost little.
+    counted = bucketed if few_groups else bucketed.groupBy(*keys, "_bucket", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    met = counted.join(F.broadcast(middle) if few_groups else middle, _same(counted, middle, [*keys, "_bucket"], "_at_"))
+    if few_groups:
+        met = met.groupBy(*keys, "_bucket", "_value", *place).agg(F.count(F.lit(1)).alias("_n"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     ranked = (
-        values.join(middle, matched)
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+        met.withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
         .withColumn("_start", F.col("_end") - F.col("_n"))
         .where("(_start <= _low and _low < _end) or (_start <= _high and _high < _end)")
     )
@@ -59,3 +70,34 @@ def grouped_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.max("max_value").alias("max_value"),
         ((F.min("_value") + F.max("_value")) / 2).alias("median"),
     )
+
+
+def grouped_median(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    rows_per_task: int = ROWS_PER_TASK,
+    broadcast_limit: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """``keys, rows, max_value, median``: the interpolated median and largest value.
+
+    ``percentile`` keeps the values of a group in one task. Groups are counted first,
+    combined on the map side; those with more than ``rows_per_task`` rows, usually none,
+    go through a histogram instead, and so do all groups when too many are that large.
+    Every way is exact.
+    """
+    known = df.where(F.col(value).isNotNull())
+    large = (
+        known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_task)
+        .select(*[F.col(k).alias(f"_large_{k}") for k in keys])
+    )
+    rows = large.limit(broadcast_limit + 1).collect()
+    if not rows:
+        return _direct(known, keys, value)
+    if len(rows) > broadcast_limit:
+        return _by_histogram(known, keys, value, few_groups=False)
+    marked = F.broadcast(df.sparkSession.createDataFrame(rows, large.schema))
+    same = _same(known, marked, keys, "_large_")
+    return _direct(known.join(marked, same, "left_anti"), keys, value).unionByName(
+        _by_histogram(known.join(marked, same, "left_semi"), keys, value, few_groups=True)
+    )

@@ -177,13 +177,15 @@ def test_predicates(spark, predicate, expected):
     assert classify_predicate(row).first().predicate_class == expected
 
 
-def test_median_equals_numpy(spark):
+@pytest.mark.parametrize("rows_per_task, broadcast_limit", [(100_000, 10), (1000, 10), (2, 1000), (2, 1)])
+def test_median_equals_numpy(spark, rows_per_task, broadcast_limit):
     rng = np.random.default_rng(3)
     rows = [("hot", float(v)) for v in np.round(rng.lognormal(5, 3, 3000), 3)]
     rows += [("hot", 7.0)] * 1500  # copies of one value
     rows += [(f"g{i}", float(v)) for i in range(40) for v in np.round(rng.exponential(50, i % 7 + 1), 2)]
     rows += [("neg", -5.0), ("neg", -1.5), ("neg", 0.0), ("neg", 2.0), (None, 1.0), (None, 4.0), ("nulls", None)]
-    got = {r.k: r for r in grouped_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    frame = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r for r in grouped_median(frame, ["k"], "v", rows_per_task, broadcast_limit).collect()}
     expected = {}
     for k, v in rows:
         if v is not None:
