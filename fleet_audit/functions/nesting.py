@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +14,8 @@ from fleet_audit.functions.bounds import MAX_CATALOGUE_ROWS
 ROWS_PER_PART = 10_000
 
 
-def _parts(items: DataFrame, keys: list[str], rows_per_part: int, limit: int) -> DataFrame:
-    """``items`` with ``parts``: over how many rows the items of their key are spread.
+def _with_part(items: DataFrame, keys: list[str], names: list[str], rows_per_part: int, limit: int) -> DataFrame:
+    """``items`` with ``part`` and ``parts``: the rows the items of their key are spread over.
 
     Keys are counted first. Mostly none is too large, and then nothing is joined. A few
     large ones are broadcast after that count; more of them are joined by key.
@@ -25,29 +28,44 @@ def _parts(items: DataFrame, keys: list[str], rows_per_part: int, limit: int) ->
     )
     rows = large.limit(limit + 1).collect()
     if not rows:
-        return items.withColumn("parts", F.lit(1))
+        return items.withColumns({"parts": F.lit(1), "part": F.lit(0)})
     known = large if len(rows) > limit else F.broadcast(items.sparkSession.createDataFrame(rows, large.schema))
-    return items.join(known, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return (
+        items.join(known, keys, "left")
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
+        .withColumn("part", F.pmod(F.xxhash64(*names), F.col("parts")).cast("int"))
+    )
 
 
-def nest_rows(
-    df: DataFrame,
+def nest_all(
+    kinds: Mapping[str, tuple[DataFrame, Column]],
     keys: list[str],
-    item: Column,
-    name: str,
     rows_per_part: int = ROWS_PER_PART,
     broadcast_limit: int = MAX_CATALOGUE_ROWS,
 ) -> DataFrame:
-    """``keys, part, parts, <name>`` with the items of a key as sorted arrays.
+    """``keys, part, parts`` and one sorted array per kind; a kind without items is NULL.
 
-    A key with up to ``rows_per_part`` rows gives one row (part 0 of 1). A larger one
-    is spread by the hash of the item over as many rows as needed, so no task holds
-    more than a small multiple of ``rows_per_part`` items, and nothing is dropped.
-    Copies of one item share its part. ``df`` is read twice, once for the keys alone.
+    ``kinds`` maps the name of an array to a table and the expression of its items. All
+    kinds meet in one aggregation. A key with up to ``rows_per_part`` items gives one row
+    (part 0 of 1). A larger one is spread by the hash of the item over as many rows as
+    needed, so no task holds more than a small multiple of ``rows_per_part`` items, and
+    nothing is dropped. Copies of one item share its part. The tables are read twice,
+    once for the keys alone.
     """
-    items = _parts(df.select(*keys, item.alias("_item")), keys, rows_per_part, broadcast_limit)
+    names = list(kinds)
+    items = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [df.select(*keys, item.alias(name)) for name, (df, item) in kinds.items()],
+    )
+    arrays = [F.sort_array(F.collect_list(name)) for name in names]
     return (
-        items.withColumn("part", F.pmod(F.xxhash64("_item"), F.col("parts")).cast("int"))
-        .groupBy(*keys, "part", "parts")
-        .agg(F.sort_array(F.collect_list("_item")).alias(name))
+        _with_part(items, keys, names, rows_per_part, broadcast_limit)
+        .groupBy(*keys, "part")
+        .agg(F.max("parts").alias("parts"), *[a.alias(n) for a, n in zip(arrays, names)])
+        .withColumns({n: F.when(F.size(n) > 0, F.col(n)) for n in names})
     )
+
+
+def nest_rows(df: DataFrame, keys: list[str], item: Column, name: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """:func:`nest_all` for one kind of item."""
+    return nest_all({name: (df, item)}, keys, rows_per_part)

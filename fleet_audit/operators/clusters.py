@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleet_audit.functions.nesting import nest_rows
+from fleet_audit.functions.nesting import nest_all
 from fleet_audit.operators.redaction import shown_value
 
 #: Most properties listed per cluster by default.
@@ -46,16 +46,15 @@ def config_summary(entries: DataFrame, snapshot: DataFrame, n: int = SUMMARY_PRO
     Nested form of :func:`summary_properties`, :func:`anomalies` for one row per
     cluster; long lists continue in further parts instead of growing one row.
     """
-    capped = cap_summary(summary_properties(entries), n)
-    properties = nest_rows(
-        capped, ["cluster"], F.struct(F.concat_ws(".", "role", "key").alias("k"), F.col("value").alias("v"),
-                                      F.col("source_file").alias("f")), "items",
+    listed = F.struct(
+        F.concat_ws(".", "role", "key").alias("k"), F.col("value").alias("v"), F.col("source_file").alias("f")
     )
-    odd = nest_rows(
-        anomalies(entries), ["cluster"], F.struct("kind", "role", "node", "file", "key"), "anomalies"
-    ).drop("parts")
+    kinds = {
+        "items": (cap_summary(summary_properties(entries), n), listed),
+        "anomalies": (anomalies(entries), F.struct("kind", "role", "node", "file", "key")),
+    }
     return (
-        properties.join(odd, ["cluster", "part"], "full_outer")
+        nest_all(kinds, ["cluster"])
         .join(snapshot.select("cluster", "engine_version"), "cluster", "left")
         .select(
             "cluster", "part", "parts",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleet_audit.functions.bounds import broadcast_if_small
-from fleet_audit.functions.nesting import ROWS_PER_PART, nest_rows
+from fleet_audit.functions.nesting import ROWS_PER_PART, nest_all
 
 _QUERY = ["cluster", "query_id"]
 
@@ -36,19 +36,14 @@ def query_report(
     A query with more than ``rows_per_part`` stages or operators continues in rows with
     a higher ``part``; every other query is one row.
     """
-    nested = None
-    for name, key in (("stages", "stage_id"), ("operators", "operator_id")):
-        columns = [c for c in tables[name].columns if c not in ("fleet", *_QUERY)]
-        lead = [c for c in ("stage_id", key) if c in columns]
-        ordered = list(dict.fromkeys(lead + columns))
-        part = nest_rows(tables[name], _QUERY, F.struct(*ordered), name, rows_per_part)
-        part = part.withColumnRenamed("parts", f"_{name}_parts")
-        nested = part if nested is None else nested.join(part, [*_QUERY, "part"], "full_outer")
-    parts = F.greatest(F.coalesce("_stages_parts", F.lit(1)), F.coalesce("_operators_parts", F.lit(1)))
+    kinds = {}
+    for name, lead in (("stages", ["stage_id"]), ("operators", ["stage_id", "operator_id"])):
+        rest = [c for c in tables[name].columns if c not in ("fleet", *_QUERY, *lead)]
+        kinds[name] = (tables[name], F.struct(*lead, *rest))
     return (
-        tables["query_info"].join(nested, _QUERY, "left")
+        tables["query_info"].join(nest_all(kinds, _QUERY, rows_per_part), _QUERY, "left")
         .select(
-            *_QUERY, F.coalesce("part", F.lit(0)).alias("part"), parts.alias("parts"),
+            *_QUERY, F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"),
             "state", "elapsed_ms", "queued_ms", "peak_memory", "stages", "operators",
         )
     )

@@ -16,8 +16,9 @@ def read_config_backup(spark: SparkSession, root: str, nodes_in_path: bool = Fal
 
     ``root`` is any path Spark can read, local or object store; executors read in
     parallel and nothing is listed on the driver beyond Spark's own file index.
-    Directories may also be named ``cluster=<cluster>/role=<role>``. The layout has no node level, so ``node`` is the role; with ``nodes_in_path`` the
-    first directory below the role names the node.
+    Directories may also be named ``cluster=<cluster>/role=<role>``. The layout has no
+    node level, so ``node`` is the role; with ``nodes_in_path`` the first directory below
+    the role names the node.
     """
     files = (
         spark.read.format("text")

@@ -150,12 +150,13 @@ def test_query_report_and_lookup(tables):
 
 
 def test_long_reports_continue_in_parts(spark, tables):
-    ops = spark.range(500).select(
-        F.lit("f").alias("fleet"), F.lit("c1").alias("cluster"), F.lit("skew+").alias("query_id"), F.lit("s").alias("stage_id"),
-        F.col("id").cast("string").alias("operator_id"))
-    rows = telemetry.query_lookup(telemetry.query_report({**tables, "operators": ops}, rows_per_part=50), "c1", "skew+").collect()
-    assert sorted(r.part for r in rows) == list(range(10)) and {r.parts for r in rows} == {10}
-    assert sorted(int(o.operator_id) for r in rows for o in r.operators) == list(range(500))
+    ops = spark.range(500).selectExpr(
+        "'f' as fleet", "'c1' as cluster", "'skew+' as query_id", "'s' as stage_id", "string(id) as operator_id")
+    nested = telemetry.query_report({**tables, "operators": ops}, rows_per_part=50)
+    rows = telemetry.query_lookup(nested, "c1", "skew+").collect()
+    assert sorted(r.part for r in rows) == list(range(11)) and {r.parts for r in rows} == {11}  # 500 operators, a stage
+    assert sorted(int(o.operator_id) for r in rows for o in r.operators or []) == list(range(500))
+    assert sum(len(r.stages or []) for r in rows) == 1
 
 
 def test_nesting_keeps_every_row(spark):
