@@ -8,6 +8,11 @@ comparison or arithmetic signs is refused when the catalogue is loaded.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+
+from pyspark.sql import Row
+
+from fleet_audit.schemas import SEVERITIES
 
 #: Names a check may use, and what they stand for.
 NAMES = {
@@ -49,3 +54,15 @@ def names_used(check: str) -> set[str]:
                 used.add(word.lower())
         position = match.end()
     return used
+
+
+def validate_catalogue(rules: Sequence[Row]) -> dict[str, set[str]]:
+    """Names used by each check; raises when a rule could not be evaluated or told apart."""
+    seen: set[str] = set()
+    for rule in rules:
+        if rule.rule_id in seen:
+            raise CheckError(f"rule id {rule.rule_id!r} is used twice")
+        if rule.severity not in SEVERITIES:
+            raise CheckError(f"severity {rule.severity!r} of rule {rule.rule_id!r} is not known")
+        seen.add(rule.rule_id)
+    return {check: names_used(check) for check in {rule.check for rule in rules}}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fleet_audit.findings import all_findings, to_findings
 from fleet_audit.functions.bounds import bounded_rows
-from fleet_audit.functions.checks import names_used
+from fleet_audit.functions.checks import validate_catalogue
 from fleet_audit.functions.text import human_bytes, plain_number
 from fleet_audit.functions.versions import version_in_gate
 from fleet_audit.operators.normalize import rules_in_scope
@@ -109,7 +109,7 @@ def _passes(rows: list) -> list[list]:
 def _outcomes(entries: DataFrame, rules: DataFrame, snapshot: DataFrame, scopes) -> list[DataFrame]:
     """Entries with rule and ``passed`` (true, false, or NULL when it cannot be told)."""
     rows = bounded_rows(rules_in_scope(rules, scopes), "the rule catalogue")
-    used = {check: names_used(check) for check in {r.check for r in rows}}
+    used = validate_catalogue(rows)
     results = []
     for part in _passes(rows):
         checks = sorted({r.check for r in part})

@@ -5,11 +5,12 @@ import inspect
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fleet_audit.findings import flatten, rule_id_delta
 from fleet_audit.functions.bounds import TooLargeError, bounded_rows
-from fleet_audit.functions.checks import CheckError, names_used
+from fleet_audit.functions.checks import CheckError, names_used, validate_catalogue
 from fleet_audit.functions.versions import gate_array, version_array, version_in_gate
 from fleet_audit.operators import audit, clusters, consistency, enrich, redaction, rules as engine, versions
 from fleet_audit.operators.normalize import scope_filter
@@ -107,6 +108,14 @@ def test_safe_checks():
     assert names_used("value <= 0.3 * jvm_heap and text <> 'x'") == {"value", "jvm_heap", "text"}
 
 
+def test_catalogue_is_validated():
+    rule = lambda i, severity: Row(rule_id=i, severity=severity, check="value > 1")
+    assert validate_catalogue([rule("a", "low"), rule("b", "high")]) == {"value > 1": {"value"}}
+    for bad in ([rule("a", "low"), rule("a", "low")], [rule("a", "urgent")]):
+        with pytest.raises(CheckError):
+            validate_catalogue(bad)
+
+
 def test_engine_knows_no_context():
     assert "context" not in inspect.signature(engine.run_rules).parameters
     tree = ast.parse(Path(engine.__file__).read_text())
