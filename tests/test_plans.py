@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from fleet_audit.operators import clusters, telemetry
 from fleet_audit.operators.enrich import best_rationale
-from fleet_audit.plans import standins
+from fleet_audit.plans import registered, standins
 from fleet_audit.sources.queries import flatten_query, parse_snapshots
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +20,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in READ_BACK and not n.startswith("table_stats_")])
+@pytest.mark.parametrize("name", [n for n in registered.QUERIES if n not in READ_BACK and not n.startswith("table_stats_")])
 def test_no_pairs_of_all_rows(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     assert "NestedLoop" not in text and "CartesianProduct" not in text
