@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
+from fleet_audit.llm.op8_simhash import op8_simhash_near_dedup
 from fleet_audit.llm.op10_url_filter import op10_redirect_url_filter, op10_sql
 
 QUERIES = {
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_redirect_url_filter": op10_redirect_url_filter,
 }
 ORACLES = {"op10_redirect_url_filter": op10_sql}
