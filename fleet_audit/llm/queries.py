@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fleet_audit.llm.op5_decontaminate import op5_benchmark_decontamination
 from fleet_audit.llm.op6_bpe import op6_byte_level_bpe
 from fleet_audit.llm.op7_quality import op7_compression_quality
 from fleet_audit.llm.op8_simhash import op8_simhash_near_dedup
@@ -9,6 +10,7 @@ from fleet_audit.llm.op9_line_dedup import op9_content_defined_line_dedup
 from fleet_audit.llm.op10_url_filter import op10_redirect_url_filter, op10_sql
 
 QUERIES = {
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_byte_level_bpe": op6_byte_level_bpe,
     "op7_compression_quality": op7_compression_quality,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
