@@ -61,25 +61,45 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _segments_for(prints: DataFrame) -> int:
+    return 3 if prints.count() <= WIDE_FROM else 2
+
+
+def _own_keys(plan: list[tuple[int, int, int]]) -> Column:
+    return F.array(*(_key(k, _segment(F.col("print"), s, w)) for k, (s, w, _) in enumerate(plan)))
+
+
+def _ball_keys(plan: list[tuple[int, int, int]]) -> Column:
+    return F.flatten(F.array(*(_ball(_key(k, _segment(F.col("print"), s, w)), w, ball) for k, (s, w, ball) in enumerate(plan))))
+
+
 def hamming_links(prints: DataFrame, radius: int, segments: int | None = None, table: str | None = None) -> DataFrame:
     """``a, b`` (and ``table``): links that connect what lies within ``radius``.
 
     ``prints`` has distinct rows of ``print`` (long) and ``n``, its number of rows; with ``table``, a column of
     that name keeps several sets of fingerprints apart. The result may hold a link twice.
     """
-    if segments is None:
-        segments = 3 if prints.count() <= WIDE_FROM else 2
-    plan = segment_plan(radius, segments)
-    set_of = [F.col(table)] if table else []
+    plan = segment_plan(radius, segments or _segments_for(prints))
     names = [table] if table else []
-    filed = prints.select(*set_of, "print", "n", F.explode(F.array(*(_key(k, _segment(F.col("print"), s, w)) for k, (s, w, _) in enumerate(plan)))).alias("key"))
+    filed = prints.select(*names, "print", "n", F.explode(_own_keys(plan)).alias("key"))
     centres = filed.groupBy(*names, "key").agg(F.max_by("print", F.struct("n", "print")).alias("centre"))
     filed = filed.join(centres, [*names, "key"]).select(
         *names, "key", F.col("print").alias("b"), "centre", (distance(F.col("print"), F.col("centre")) <= radius).alias("b_near"))
-    balls = F.flatten(F.array(*(_ball(_key(k, _segment(F.col("print"), s, w)), w, ball) for k, (s, w, ball) in enumerate(plan))))
-    looked_up = prints.select(*names, F.col("print").alias("a"), F.explode(balls).alias("key"))
+    looked_up = prints.select(*names, F.col("print").alias("a"), F.explode(_ball_keys(plan)).alias("key"))
     a_near = distance(F.col("a"), F.col("centre")) <= radius
     wanted = (F.col("b") == F.col("centre")) | ((F.col("a") < F.col("b")) & ~(F.col("b_near") & a_near))
     on = F.expr(" and ".join(f"l.{c} = f.{c}" for c in [*names, "key"]))
     close = (F.col("a") != F.col("b")) & (distance(F.col("a"), F.col("b")) <= radius)
     return looked_up.alias("l").join(filed.alias("f"), on & close & wanted).select(*(F.col(f"l.{c}") for c in names), "a", "b")
+
+
+def hamming_pairs(probes: DataFrame, filed: DataFrame, radius: int, table: str) -> DataFrame:
+    """``a, b``: the ``node`` of every row of ``probes`` with that of every row of ``filed`` within ``radius`` of it.
+
+    Both have ``node, print`` and the column ``table``. All pairs are returned, so ``probes`` should be few.
+    """
+    plan = segment_plan(radius, _segments_for(filed))
+    left = probes.select(table, F.col("node").alias("a"), F.col("print").alias("p"), F.explode(_ball_keys(plan)).alias("key"))
+    right = filed.select(table, F.col("node").alias("b"), F.col("print").alias("q"), F.explode(_own_keys(plan)).alias("key"))
+    on = F.expr(f"l.{table} = r.{table} and l.key = r.key and l.a != r.b")
+    return left.alias("l").join(right.alias("r"), on & (distance(F.col("p"), F.col("q")) <= radius)).select("a", "b")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleet_audit.llm.components import connected_components
-from fleet_audit.llm.hamming import hamming_links
+from fleet_audit.llm.hamming import hamming_links, hamming_pairs
 from fleet_audit.llm.shared import kept, row_ids
 
 SEED = 42
@@ -82,3 +82,78 @@ def simhash_classes(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     classes = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = joined.select("print", "root").join(classes, "root").select("print", "component_id")
     return rows.join(labels, "print").select(id_col, "print", "component_id")
+
+
+def near_duplicate_classes(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tables: int = 4, radius: int = 4,
+) -> DataFrame:
+    """``_row, <id>, class_id`` per row of ``docs``: the smallest id among texts that are equal or share shingles enough.
+
+    Fingerprints bring candidates together: several SimHashes over the set of words, since an edit that
+    breaks five shingles changes one word, and a pair of similarity 0.8 lies within ``radius`` bits in at
+    least one of four of them almost always. The Jaccard similarity of the sets of ``words``-word
+    shingles decides. ``docs`` must have ``_row``, a number of its own for each row.
+    """
+    texts, members = _distinct_texts(docs, id_col, text_col)
+
+    @F.pandas_udf("array<long>")
+    def prints_of(column: pd.Series) -> pd.Series:
+        return pd.Series([word_signatures(t, tables) for t in column])
+
+    has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    signed = kept(texts.filter(has_words).select("node", F.posexplode(prints_of("text")).alias("t", "print")), "signatures")
+    prints = kept(signed.groupBy("t", "print").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")), "distinct")
+    links = hamming_links(prints.select("t", "print", "n"), radius, table="t")
+    # Texts of one fingerprint meet at the smallest of them, which stands for the fingerprint in its links.
+    ends = prints.select("t", "print", F.col("node").alias("centre"))
+    same = signed.join(ends, ["t", "print"]).filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    across = (
+        links.join(ends.withColumnsRenamed({"print": "a", "centre": "x"}), ["t", "a"])
+        .join(ends.withColumnsRenamed({"print": "b", "centre": "y"}), ["t", "b"])
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b")
+    )
+    pairs = kept(same.unionByName(across).distinct(), "pairs")
+    similar = kept(similar_pairs(pairs, texts, words, similarity), "similar")
+    # Where a link to what stands for others does not hold, the texts behind it are compared one by one.
+    apart = pairs.join(similar, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    doubtful = signed.join(signed.join(apart, "node", "left_semi").select("t", "print").distinct(), ["t", "print"], "left_semi")
+    closer = hamming_pairs(doubtful, signed, radius, "t").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    closer = kept(closer.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    roots = connected_components(similar.unionByName(similar_pairs(closer, texts, words, similarity)))
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed.groupBy("root").agg(F.min("id").alias("class_id"))
+    return placed.join(least, "root").select("_row", F.col("id").alias(id_col), "class_id")
+
+
+def _distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``node, text`` of every different text, a node being the smallest row of it, and ``_row, id, node`` of every row."""
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    rows = kept(docs.select("_row", F.col(id_col).alias("id"), digest.alias("digest")), "digests")
+    nodes = kept(rows.groupBy("digest").agg(F.min("_row").alias("node")), "nodes")
+    members = rows.join(nodes, "digest").select("_row", "id", "node")
+    texts = docs.select(F.col("_row").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(nodes.select("node"), "node", "left_semi")
+    return texts, members
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (``a, b``) whose texts have a Jaccard similarity of ``similarity`` or more over sets of shingles."""
+
+    @F.pandas_udf("array<long>")
+    def shingle_set(column: pd.Series) -> pd.Series:
+        return pd.Series([
+            np.unique(np.array([xxhash.xxh3_64_intdigest(s) for block in shingle_bytes(t, words) for s in block], np.uint64)).view(np.int64) for t in column
+        ])
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = kept(texts.join(named, "node", "left_semi").select("node", shingle_set("text").alias("s")), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest id, and of its rows the one read first."""
+    rows = row_ids(docs, "documents", "_row")
+    classes = near_duplicate_classes(rows, words, similarity, id_col, text_col)
+    keep = classes.groupBy("class_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col), F.col("_row"))).alias("first"))
+    return rows.join(keep.select(F.col("first._row").alias("_row")), "_row", "left_semi").drop("_row")
