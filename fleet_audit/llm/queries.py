@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fleet_audit.llm.op4_disclosure import op4_pii_disclosure
 from fleet_audit.llm.op5_decontaminate import op5_benchmark_decontamination
 from fleet_audit.llm.op6_bpe import op6_byte_level_bpe
 from fleet_audit.llm.op7_quality import op7_compression_quality
@@ -10,6 +11,7 @@ from fleet_audit.llm.op9_line_dedup import op9_content_defined_line_dedup
 from fleet_audit.llm.op10_url_filter import op10_redirect_url_filter, op10_sql
 
 QUERIES = {
+    "op4_pii_disclosure": op4_pii_disclosure,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_byte_level_bpe": op6_byte_level_bpe,
     "op7_compression_quality": op7_compression_quality,
