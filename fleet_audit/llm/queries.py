@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fleet_audit.llm.op2_warc import op2_arc_to_warc, op2_sql
 from fleet_audit.llm.op4_disclosure import op4_pii_disclosure
 from fleet_audit.llm.op5_decontaminate import op5_benchmark_decontamination
 from fleet_audit.llm.op6_bpe import op6_byte_level_bpe
@@ -11,6 +12,7 @@ from fleet_audit.llm.op9_line_dedup import op9_content_defined_line_dedup
 from fleet_audit.llm.op10_url_filter import op10_redirect_url_filter, op10_sql
 
 QUERIES = {
+    "op2_arc_to_warc": op2_arc_to_warc,
     "op4_pii_disclosure": op4_pii_disclosure,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_byte_level_bpe": op6_byte_level_bpe,
@@ -19,4 +21,4 @@ QUERIES = {
     "op9_content_defined_line_dedup": op9_content_defined_line_dedup,
     "op10_redirect_url_filter": op10_redirect_url_filter,
 }
-ORACLES = {"op10_redirect_url_filter": op10_sql}
+ORACLES = {"op2_arc_to_warc": op2_sql, "op10_redirect_url_filter": op10_sql}
