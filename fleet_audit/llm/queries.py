@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fleet_audit.llm.op2_warc import op2_arc_to_warc, op2_sql
+from fleet_audit.llm.op3_sharding import op3_balanced_label_propagation
 from fleet_audit.llm.op4_disclosure import op4_pii_disclosure
 from fleet_audit.llm.op5_decontaminate import op5_benchmark_decontamination
 from fleet_audit.llm.op6_bpe import op6_byte_level_bpe
@@ -13,6 +14,7 @@ from fleet_audit.llm.op10_url_filter import op10_redirect_url_filter, op10_sql
 
 QUERIES = {
     "op2_arc_to_warc": op2_arc_to_warc,
+    "op3_balanced_label_propagation": op3_balanced_label_propagation,
     "op4_pii_disclosure": op4_pii_disclosure,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_byte_level_bpe": op6_byte_level_bpe,
