@@ -16,10 +16,11 @@ A null text counts as empty and has no ids. Repeated rows are kept. Empty tables
 from __future__ import annotations
 
 import base64
+import heapq
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,12 @@ _NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x1
 _ONE_LETTER, _TWO_LETTERS = "stmd", ("re", "ve", "ll")
 
 #: Code points worked on at a time; a longer text is a block of its own.
-_BLOCK_CHARS = 1 << 20
+_BLOCK_CHARS = 1 << 19
+#: Ids decoded at a time.
+_BLOCK_IDS = 1 << 17
+#: Pieces of more bytes than this are merged one by one, with a heap.
+_LONG_PIECE = 256
+_NO_MERGE = np.int64(1) << 60
 
 # Classes of code points. TEXT_END stands between texts.
 LETTER, NUMBER, OTHER, BLANK, SPACE, APOSTROPHE_1, APOSTROPHE_2, TEXT_END = range(8)
@@ -140,73 +146,101 @@ class Vocabulary:
     """The byte sequences of a rank file, their ids, and which pairs of ids merge into which id."""
 
     ranks: dict[bytes, int]
-    pieces: dict[bytes, np.ndarray] = field(default_factory=dict)
+    #: Ids of merged pieces as packed 32-bit numbers.
+    pieces: dict[bytes, bytes] = field(default_factory=dict)
     #: Merged pieces held at most; the cache starts anew beyond it.
-    cache_pieces: int = 400_000
+    cache_pieces: int = 200_000
 
     def __post_init__(self) -> None:
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
-        size = max(self.tokens) + 1
-        self.lengths = np.zeros(size, np.int64)
-        for rank, token in self.tokens.items():
+        tokens = {rank: token for token, rank in self.ranks.items()}
+        size = max(tokens) + 1
+        self.lengths = np.zeros(size, np.int32)
+        for rank, token in tokens.items():
             self.lengths[rank] = len(token)
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-        self.bytes = np.frombuffer(b"".join(self.tokens.get(r, b"") for r in range(size)), np.uint8)
-        self.single = [self.ranks[bytes([b])] for b in range(256)]
-        self.merges = {
-            (self.ranks[token[:k]] << 32) | self.ranks[token[k:]]: rank
-            for token, rank in self.ranks.items()
-            for k in range(1, len(token))
-            if token[:k] in self.ranks and token[k:] in self.ranks
-        }
+        self.starts = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
+        self.bytes = np.frombuffer(b"".join(tokens.get(r, b"") for r in range(size)), np.uint8)
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())})
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece: the pair of lowest rank is merged first, the leftmost of equal pairs before the others."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        ids = [self.single[b] for b in piece]
-        merges, none = self.merges, 1 << 60
-        pairs = [merges.get((a << 32) | b, none) for a, b in zip(ids, ids[1:])]
-        while pairs:
-            best = min(pairs)
-            if best == none:
-                break
-            k = pairs.index(best)
-            ids[k : k + 2] = [best]
-            del pairs[k]
-            if k < len(pairs):
-                pairs[k] = merges.get((best << 32) | ids[k + 1], none)
-            if k:
-                pairs[k - 1] = merges.get((ids[k - 1] << 32) | best, none)
-        return ids
-
-    def ids_of(self, piece: bytes) -> np.ndarray:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= self.cache_pieces:
-                self.pieces.clear()
-            found = np.array(self.merge(piece) if len(piece) < 2_000 else self.merge_long(piece), np.int32)
-            self.pieces[piece] = found
-        return found
+    @cached_property
+    def merges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of ids that merge, as sorted 64-bit numbers, and what they merge into."""
+        found = {
+            (self.ranks[token[:k]] << 32) | self.ranks[token[k:]]: rank
+            for token, rank in self.ranks.items()
+            for k in range(1, len(token))
+            if token[:k] in self.ranks and token[k:] in self.ranks
+        }
+        keys = np.fromiter(found, np.int64, len(found))
+        order = np.argsort(keys)
+        return keys[order], np.fromiter(found.values(), np.int64, len(found))[order]
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys, into = self.merges
+        wanted = (left << 32) | right
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, into[at], _NO_MERGE)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece. In every round each piece merges its pair of lowest rank, the leftmost of equal ones."""
+        out: list[bytes] = [b""] * len(pieces)
+        short = []
+        for k, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[k] = whole.to_bytes(4, "little")
+            elif len(piece) > _LONG_PIECE:
+                out[k] = np.array(self.merge_long(piece), "<i4").tobytes()
+            else:
+                short.append(k)
+        if not short:
+            return out
+        owner = np.array(short)
+        sizes = np.array([len(pieces[k]) for k in short])
+        ids = self.single[np.frombuffer(b"".join([pieces[k] for k in short]), np.uint8)]
+        ranks = np.full(len(ids), _NO_MERGE)
+        ranks[:-1] = self.merged(ids[:-1], ids[1:])
+        ranks[np.cumsum(sizes) - 1] = _NO_MERGE
+        while len(owner):
+            starts = np.cumsum(sizes) - sizes
+            best = np.minimum.reduceat(ranks, starts)
+            done = best == _NO_MERGE
+            if done.any():
+                for k, i, n in zip(owner[done].tolist(), starts[done].tolist(), sizes[done].tolist()):
+                    out[k] = ids[i : i + n].astype("<i4").tobytes()
+                keep = np.repeat(~done, sizes)
+                ids, ranks, owner, sizes, best = ids[keep], ranks[keep], owner[~done], sizes[~done], best[~done]
+                if not len(owner):
+                    break
+                starts = np.cumsum(sizes) - sizes
+            segment = np.repeat(np.arange(len(owner)), sizes)
+            lowest = np.flatnonzero(ranks == best[segment])
+            at = lowest[np.concatenate(([True], segment[lowest[1:]] != segment[lowest[:-1]]))]
+            ids[at] = best
+            ranks[at] = _NO_MERGE
+            after = at + 2 < starts + sizes
+            ranks[at[after]] = self.merged(ids[at[after]], ids[at[after] + 2])
+            before = at > starts
+            ranks[at[before] - 1] = self.merged(ids[at[before] - 1], ids[at[before]])
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, ranks, sizes = ids[keep], ranks[keep], sizes - 1
+        return out
 
     def merge_long(self, piece: bytes) -> list[int]:
-        """As :meth:`merge`, with a heap over a linked list, for pieces too long for repeated passes."""
-        import heapq
-
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        ids = [self.single[b] for b in piece]
+        """The ids of one piece, with a heap over a linked list."""
+        ids = self.single[np.frombuffer(piece, np.uint8)]
         n = len(ids)
+        ranks = self.merged(ids[:-1], ids[1:]).tolist()
+        ids = ids.tolist()
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, k, a, b) for k, (a, b) in enumerate(zip(ids, ids[1:])) if (r := self.merges.get((a << 32) | b)) is not None]
+        heap = [(r, k, ids[k], ids[k + 1]) for k, r in enumerate(ranks) if r < _NO_MERGE]
         heapq.heapify(heap)
+        known: dict[tuple[int, int], int] = {}
         while heap:
             rank, k, a, b = heapq.heappop(heap)
             right = after[k] if alive[k] else n
@@ -217,10 +251,24 @@ class Vocabulary:
             if after[k] < n:
                 before[after[k]] = k
             for left, second in ((before[k], k), (k, after[k])):
-                if left >= 0 and second < n and (r := self.merges.get((ids[left] << 32) | ids[second])) is not None:
-                    heapq.heappush(heap, (r, left, ids[left], ids[second]))
+                if left < 0 or second >= n:
+                    continue
+                pair = (ids[left], ids[second])
+                if pair not in known:
+                    known[pair] = int(self.merged(np.array([pair[0]]), np.array([pair[1]]))[0])
+                if known[pair] < _NO_MERGE:
+                    heapq.heappush(heap, (known[pair], left, *pair))
         return [i for i, keep in zip(ids, alive) if keep]
 
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct pieces, merging only those not seen lately."""
+        new = [p for p in pieces if p not in self.pieces]
+        if len(self.pieces) + len(new) > self.cache_pieces:
+            self.pieces.clear()
+            new = pieces
+        self.pieces.update(zip(new, self.merge(new)))
+        return [self.pieces[p] for p in pieces]
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -238,17 +286,16 @@ def encode_texts(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nd
     cuts = at[starts].tolist()
     cuts.append(len(raw))
     pieces = [raw[i:j] for i, j in zip(cuts, cuts[1:])]
-    filler = np.isin(starts, text_ends)
-    codes: dict[bytes, int] = {}
-    which = np.fromiter((codes.setdefault(p, len(codes)) for p in pieces), np.int64, len(pieces))
-    own = [vocab.ids_of(p) for p in codes]
-    sizes = np.fromiter(map(len, own), np.int64, len(own))
-    flat = np.concatenate(own) if own else np.empty(0, np.int32)
+    filler = np.isin(starts, text_ends, assume_unique=True)
+    codes = {p: k for k, p in enumerate(dict.fromkeys(pieces))}
+    which = np.fromiter(map(codes.__getitem__, pieces), np.int32, len(pieces))
+    own = vocab.ids_of(list(codes))
+    flat = np.frombuffer(b"".join(own), "<i4")
+    sizes = np.fromiter(map(len, own), np.int32, len(own)) // 4
     counts = np.where(filler, 0, sizes[which])
     ends = np.cumsum(counts)
-    offsets = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - counts), counts)
-    ids = flat[offsets + np.arange(len(offsets))]
-    return ids, ends[np.flatnonzero(filler)]
+    at = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - counts), counts)
+    return flat[at + np.arange(len(at))], ends[np.flatnonzero(filler)]
 
 
 def decode_ids(ids: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -259,16 +306,16 @@ def decode_ids(ids: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarr
     return vocab.bytes[at + np.arange(len(at))], ends
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    block, size, first = [], 0, 0
-    for k, text in enumerate(texts):
-        if block and size + len(text or "") > _BLOCK_CHARS:
-            yield first, block
-            block, size, first = [], 0, k
-        block.append(text or "")
-        size += len(text or "")
-    if block:
-        yield first, block
+def _blocks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes add up to ``limit`` at most; a larger row is a run of its own."""
+    first, total = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > first and total + size > limit:
+            yield first, k
+            first, total = k, 0
+        total += size
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def _added(df: DataFrame, names: list[str], kinds: list[T.DataType]) -> T.StructType:
@@ -291,12 +338,13 @@ def encode(df: DataFrame, path: str, text_col: str = "text", offsets: bool = Tru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            for first, texts in _blocks(batch.column(text_col).to_pylist()):
-                ids, ends = encode_texts(texts, vocab)
-                part = batch.slice(first, len(texts))
+            lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0).to_numpy()
+            for first, last in _blocks(lengths, _BLOCK_CHARS):
+                part = batch.slice(first, last - first)
+                ids, ends = encode_texts([t or "" for t in part.column(text_col).to_pylist()], vocab)
                 columns = [*(part.column(n) for n in others), _list(ids, ends, pa.int32())]
                 if offsets:
-                    bytes_before = np.concatenate(([0], np.cumsum(vocab.lengths[ids])))
+                    bytes_before = np.concatenate(([0], np.cumsum(vocab.lengths[ids], dtype=np.int64)))
                     text_starts = np.repeat(bytes_before[np.concatenate(([0], ends[:-1]))], np.diff(ends, prepend=0))
                     columns.append(_list(bytes_before[1:] - text_starts, ends, pa.int32()))
                 yield pa.RecordBatch.from_arrays(columns, [*others, *names])
@@ -312,13 +360,15 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", output_col: str = "de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            column = batch.column(ids_col)
-            ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = np.array([0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], np.int64)
-            raw, token_ends = decode_ids(ids, vocab)
-            ends = np.concatenate(([0], token_ends))[np.concatenate(([0], np.cumsum(counts)))]
-            whole = raw.tobytes()
-            out = [whole[i:j] if known else None for i, j, known in zip(ends.tolist(), ends[1:].tolist(), column.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in others), pa.array(out, pa.binary())], [*others, output_col])
+            counts = pa.compute.fill_null(pa.compute.list_value_length(batch.column(ids_col)), 0).to_numpy()
+            for first, last in _blocks(counts, _BLOCK_IDS):
+                part = batch.slice(first, last - first)
+                column = part.column(ids_col)
+                raw, token_ends = decode_ids(column.flatten().to_numpy(zero_copy_only=False), vocab)
+                ends = np.concatenate(([0], token_ends))[np.concatenate(([0], np.cumsum(counts[first:last])))]
+                whole = raw.tobytes()
+                known = column.is_valid().to_pylist()
+                out = [whole[i:j] if k else None for i, j, k in zip(ends.tolist(), ends[1:].tolist(), known)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in others), pa.array(out, pa.binary())], [*others, output_col])
 
     return df.mapInArrow(run, schema)
