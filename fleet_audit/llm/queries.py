@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fleet_audit.llm.op1_projected_search import op1_projected_kdtree_search
 from fleet_audit.llm.op2_warc import op2_arc_to_warc, op2_sql
 from fleet_audit.llm.op3_sharding import op3_balanced_label_propagation
 from fleet_audit.llm.op4_disclosure import op4_pii_disclosure
@@ -13,6 +14,7 @@ from fleet_audit.llm.op9_line_dedup import op9_content_defined_line_dedup
 from fleet_audit.llm.op10_url_filter import op10_redirect_url_filter, op10_sql
 
 QUERIES = {
+    "op1_projected_kdtree_search": op1_projected_kdtree_search,
     "op2_arc_to_warc": op2_arc_to_warc,
     "op3_balanced_label_propagation": op3_balanced_label_propagation,
     "op4_pii_disclosure": op4_pii_disclosure,
