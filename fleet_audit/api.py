@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleet_audit.findings import all_findings
-from fleet_audit.operators import clusters, consistency, enrich, redaction, report, rules, scan_estimate, tables
+from fleet_audit.operators import clusters, enrich, redaction, report, rules, scan_estimate, tables
+from fleet_audit.operators.audit import cross_checks
 from fleet_audit.operators import search, telemetry, versions
 from fleet_audit.operators.normalize import normalize_values, rules_in_scope, scope_filter
 from fleet_audit.operators.scope import resolve_scope
@@ -71,12 +72,7 @@ class FleetAudit:
         """Findings, and the counts of rules evaluated and skipped for the version."""
         entries, snapshot = self._entries(cluster), self._snapshot(cluster, context=context)
         found = all_findings(
-            rules.run_rules(entries, self.catalogue, snapshot, scope),
-            consistency.check_heap_mismatch(entries),
-            consistency.check_catalog_hms(entries),
-            consistency.check_environment_drift(entries),
-            redaction.redaction_findings(redaction.file_violations(self._files(cluster))),
-        )
+            rules.run_rules(entries, self.catalogue, snapshot, scope), *cross_checks(entries, self._files(cluster)))
         counts = versions.rule_run_counts(rules_in_scope(self.catalogue, scope), snapshot)
         return enrich.enrich(found, context, self.passages), counts
 

@@ -37,6 +37,7 @@ DEFAULT_THRESHOLDS = (
     ("exploding_join", "output_ratio", 10.0),
     ("bad_broadcast", "build_bytes", 100.0 * 1024 * 1024),
     ("skew", "max_over_median", SKEW_RATIO),
+    ("skew", "least_wall_ms", 1000.0),
     ("small_files", "average_bytes", 16.0 * 1024 * 1024),
     ("spilling", "spilled_bytes", 0.0),
     ("not_the_querys_fault", "queued_ratio", 0.5),

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleet_audit.functions.bounds import MAX_CATALOGUE_ROWS
+from fleet_audit.sources.stores import materialize
 
 #: Most rows nested into one array by default.
 ROWS_PER_PART = 10_000
@@ -30,11 +31,26 @@ def _with_part(items: DataFrame, keys: list[str], names: list[str], rows_per_par
     if not rows:
         return items.withColumns({"parts": F.lit(1), "part": F.lit(0)})
     known = large if len(rows) > limit else F.broadcast(items.sparkSession.createDataFrame(rows, large.schema))
-    return (
-        items.join(known, keys, "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("part", F.pmod(F.xxhash64(*names), F.col("parts")).cast("int"))
-    )
+    small = items.join(known, keys, "left_anti").withColumns({"parts": F.lit(1), "part": F.lit(0)})
+    numbered = _numbered(items.join(known, keys), keys, [F.col(n).asc_nulls_last() for n in names])
+    part = F.floor((F.col("_number") - 1) / rows_per_part).cast("int")
+    return small.unionByName(numbered.withColumn("part", part).drop("_number"))
+
+
+def _numbered(items: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``items`` with ``_number``, their place from 1 in the order of their key.
+
+    Items are dealt out by ranges of that order, each with a number of its own behind it so that copies of one
+    item can be split; a range is numbered by itself and moved by the counts of the ranges before.
+    """
+    stored = materialize(items.withColumn("_tie", F.monotonically_increasing_id()))
+    ranges = materialize(stored.repartitionByRange(*keys, *order, "_tie").withColumn("_range", F.spark_partition_id()))
+    counts = ranges.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order, "_tie"))
+    placed = ranges.withColumn("_place", place).join(offsets, [*keys, "_range"])
+    return placed.withColumn("_number", F.col("_place") + F.col("_before")).drop("_place", "_before", "_range", "_tie")
 
 
 def nest_all(
@@ -47,10 +63,10 @@ def nest_all(
 
     ``kinds`` maps the name of an array to a table and the expression of its items. All
     kinds meet in one aggregation. A key with up to ``rows_per_part`` items gives one row
-    (part 0 of 1). A larger one is spread by the hash of the item over as many rows as
-    needed, so no task holds more than a small multiple of ``rows_per_part`` items, and
-    nothing is dropped. Copies of one item share its part. The tables are read twice,
-    once for the keys alone.
+    (part 0 of 1). A larger one continues in order over as many rows as needed: part n
+    holds the items that follow those of part n - 1, kind by kind. No task holds more than a
+    range of a key, copies of one item may be split, and nothing is dropped. The tables are
+    read twice, once for the keys alone.
     """
     names = list(kinds)
     items = reduce(

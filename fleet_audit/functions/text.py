@@ -11,7 +11,7 @@ _SIZES = {unit: 1024**power for power, unit in enumerate(("B", "KB", "MB", "GB",
 _JVM_SIZES = {unit: 1024**power for power, unit in enumerate(("", "K", "M", "G", "T"))}
 _DURATIONS_MS = {"ns": 1e-6, "us": 1e-3, "ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
 
-_NUMBER = r"^\s*(\d{1,15}(?:\.\d{1,6})?)\s*([A-Za-z%]{0,2})\s*$"
+_NUMBER = r"^\s*([+-]?\d+(?:\.\d+)?)\s*([A-Za-z%]{0,2})\s*$"
 _FACTOR = "decimal(22,6)"
 
 
@@ -42,8 +42,9 @@ def normalized(entries: DataFrame, jvm: Column, raw: str = "raw") -> DataFrame:
 
     Sizes become bytes (binary multiples), durations milliseconds, percentages a
     share, booleans 1 or 0. ``jvm`` is true where one-letter size suffixes are meant.
-    Digits are bounded so that no arithmetic on the result can overflow. Units are
-    looked up in a constant map, in steps, so that the generated code stays short.
+    A sign and any number of digits are accepted, rounded to six decimals; a number that
+    is too large to be held is text. Units are looked up in a constant map, in steps, so
+    that the generated code stays short.
     """
     units = F.create_map(*[
         item
@@ -55,18 +56,20 @@ def normalized(entries: DataFrame, jvm: Column, raw: str = "raw") -> DataFrame:
     unit, flag = F.regexp_extract(raw, _NUMBER, 2), F.lower(F.trim(raw))
     return (
         entries.withColumns({
-            "_number": F.regexp_extract(raw, _NUMBER, 1).try_cast("decimal(21,6)"),
+            "_number": F.regexp_extract(raw, _NUMBER, 1).try_cast("decimal(30,6)"),
             "_unit": F.when(jvm, F.concat(F.lit("jvm "), F.upper(unit))).otherwise(unit),
             "_flag": F.when(flag.isin("true", "false"), flag),
         })
         .withColumn("_found", F.when(
             F.col("_number").isNotNull() & F.col("_flag").isNull(),
             F.coalesce(F.try_element_at(units, F.col("_unit")), F.try_element_at(units, F.upper("_unit")))))
+        .withColumn("_scaled", (F.col("_number").cast("decimal(30,6)") * F.col("_found.factor").cast("decimal(22,6)")).try_cast("decimal(38,6)"))
+        .withColumn("_found", F.when(F.col("_scaled").isNotNull(), F.col("_found")))
         .select(
             *entries.columns,
             F.when(F.col("_flag").isNotNull(), "boolean").otherwise(F.coalesce("_found.kind", F.lit("text"))).alias("kind"),
             F.when(F.col("_flag").isNotNull(), (F.col("_flag") == "true").cast("decimal(38,6)"))
-            .otherwise((F.col("_number") * F.col("_found.factor")).cast("decimal(38,6)")).alias("num"),
+            .otherwise(F.col("_scaled")).alias("num"),
             F.col("_found.unit").alias("unit"),
         )
     )
@@ -111,7 +114,7 @@ def doc_parts(source: Column) -> dict[str, Column]:
 
 def limit_parts(text: Column) -> tuple[Column, Column]:
     """Comparison sign and number of the first limit in a text; a percentage is a share."""
-    pattern = r"(<=|>=|<|>|=)?\s*(\d{1,15}(?:\.\d{1,6})?)\s*(%?)"
+    pattern = r"(<=|>=|<|>|=)?\s*((?:(?<![\w.])[+-])?\d+(?:\.\d+)?)\s*(%?)"
     number = F.regexp_extract(text, pattern, 2).try_cast("double")
     share = F.regexp_extract(text, pattern, 3) == "%"
     return (

@@ -9,11 +9,16 @@ _GATE = r"(<=|>=|<|>|=)?\s*(\d+(?:[.-]\d+)*)(\+)?"
 
 
 def version_array(text: Column) -> Column:
-    """``413.2`` as ``[413, 2, 0]``; NULL when the first part is no number."""
+    """``413.2`` as ``[413, 2, 0]``, ``413.2.1.9`` as ``[413, 2, 1, 9]``; NULL when the first part is no number.
+
+    All parts are kept, three at least. Zeros behind the third are left out, so that arrays compare
+    as if the shorter version were padded.
+    """
     parts = F.transform(F.split(F.trim(text), r"[.-]"), lambda part: part.try_cast("int"))
-    padded = F.slice(F.concat(parts, F.array(F.lit(0), F.lit(0))), 1, 3)
+    padded = F.concat(parts, F.array_repeat(F.lit(0), F.greatest(F.lit(3) - F.size(parts), F.lit(0))))
     filled = F.transform(padded, lambda part: F.coalesce(part, F.lit(0)))
-    return F.when(F.get(parts, 0).isNotNull(), filled)
+    last = F.array_max(F.transform(filled, lambda part, i: F.when(part != 0, i + 1).otherwise(0)))
+    return F.when(F.get(parts, 0).isNotNull(), F.slice(filled, 1, F.greatest(last, F.lit(3))))
 
 
 def gate_array(gate: Column) -> Column:

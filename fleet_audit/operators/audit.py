@@ -11,6 +11,18 @@ from fleet_audit.sources import parsers
 from fleet_audit.sources.stores import materialize
 
 
+def cross_checks(entries: DataFrame, files: DataFrame) -> list[DataFrame]:
+    """Findings of every check beside the rules, over whatever clusters are given."""
+    return [
+        consistency.check_heap_mismatch(entries),
+        consistency.check_catalog_hms(entries),
+        consistency.check_environment_drift(entries),
+        consistency.check_fleet_drift(entries),
+        redaction.redaction_findings(redaction.file_violations(files)),
+        redaction.refusal_findings(redaction.unverifiable(files)),
+    ]
+
+
 def audit_config(
     files: DataFrame,
     catalogue: DataFrame,
@@ -20,21 +32,13 @@ def audit_config(
 ) -> DataFrame:
     """Findings of rules, cross-file checks and the redaction check, then enriched.
 
-    Entries are written to the shared folder once and read by every check. The context
-    reaches only the version hint and the enrichment.
+    Entries are written to the shared folder once, secrets masked, and read by every check.
+    The context reaches only the version hint and the enrichment.
     """
-    entries = materialize(normalize_values(parsers.parse_all(files)))
+    masked = parsers.parse_all(files).withColumn("raw", redaction.shown_value())
+    entries = materialize(normalize_values(masked))
     snapshot = versions.config_snapshot(files, entries, context)
-    exposed = redaction.verify_redaction(entries).unionByName(
-        redaction.verify_redaction(parsers.assignment_entries(files))
-    ).distinct()
-    found = all_findings(
-        rules.run_rules(entries, catalogue, snapshot, scopes),
-        consistency.check_heap_mismatch(entries),
-        consistency.check_catalog_hms(entries),
-        consistency.check_environment_drift(entries),
-        redaction.redaction_findings(exposed),
-    )
+    found = all_findings(rules.run_rules(entries, catalogue, snapshot, scopes), *cross_checks(entries, files))
     if context is None and passages is None:
         return found
     return enrich.enrich(found, context, passages)

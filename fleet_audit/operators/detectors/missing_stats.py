@@ -29,7 +29,12 @@ def tables_without_stats(column_stats: DataFrame) -> DataFrame:
 
 def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame | Thresholds) -> DataFrame:
     reads = tables["scans"].select("fleet", "cluster", "query_id", "table_id").distinct()
-    fired = reads.join(tables_without_stats(tables["column_stats"]), "table_id")
+    stats = tables["column_stats"]
+    listed = stats.select("table_id").distinct()
+    # A table without any row of statistics misses all of them.
+    absent = reads.join(listed, "table_id", "left_anti").withColumns({
+        "missing_columns": F.lit(0).cast("bigint"), "first_column": F.lit(None).cast("string"), "no_row_count": F.lit(True)})
+    fired = reads.join(tables_without_stats(stats), "table_id").unionByName(absent)
     return to_findings(
         fired,
         fleet=F.col("fleet"), cluster=F.col("cluster"),

@@ -19,10 +19,12 @@ INPUTS = ("tasks",)
 def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame | Thresholds) -> DataFrame:
     stages = (
         grouped_median(tables["tasks"], ["fleet", "cluster", "query_id", "stage_id"], "wall_ms")
-        .where("median > 0")
-        .withColumn("ratio", F.col("max_value") / F.col("median"))
+        # A median of no time counts as one millisecond: one long task among idle ones is the worst skew, not none.
+        .withColumn("ratio", F.col("max_value") / F.when(F.col("median") > 0, F.col("median")).otherwise(1.0))
     )
-    fired = with_thresholds(stages, thresholds, NAME, "max_over_median").where("ratio > threshold")
+    limited = with_thresholds(stages, thresholds, NAME, "max_over_median")
+    floor = with_thresholds(limited, thresholds, NAME, "least_wall_ms", "floor")
+    fired = floor.where((F.col("ratio") > F.col("threshold")) & ((F.col("median") > 0) | (F.col("max_value") > F.coalesce("floor", F.lit(0.0)))))
     return to_findings(
         fired,
         fleet=F.col("fleet"), cluster=F.col("cluster"),

@@ -24,6 +24,12 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str], prefix: str) -> Column:
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"{prefix}{k}"]) for k in keys])
 
 
+def _finite(df: DataFrame, value: str) -> DataFrame:
+    """Rows whose value has a place in an order: not NULL, NaN or infinite. Done once, before any choice of way."""
+    x = F.col(value).cast("double")
+    return df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+
+
 def _direct(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.max(value).alias("max_value"), F.percentile(value, 0.5).alias("median")
@@ -86,7 +92,7 @@ def grouped_median(
     go through a histogram instead, and so do all groups when too many are that large.
     Every way is exact.
     """
-    known = df.where(F.col(value).isNotNull())
+    known = _finite(df, value)
     large = (
         known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_task)
         .select(*[F.col(k).alias(f"_large_{k}") for k in keys])

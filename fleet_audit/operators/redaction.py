@@ -46,17 +46,49 @@ def file_violations(
     files: DataFrame, patterns=fixed_values.SENSITIVE_KEYS, placeholders=fixed_values.PLACEHOLDERS
 ) -> DataFrame:
     """Violations in whole files: settings of known formats, and assignments anywhere."""
-    seen = parse_all(files).unionByName(assignment_entries(files))
+    seen = parse_all(files).unionByName(assignment_entries(files)).unionByName(json_scalars(files))
     return verify_redaction(seen, patterns, placeholders).distinct()
 
 
-def unverifiable(files: DataFrame) -> DataFrame:
-    """Files that cannot be checked: of no known format, or malformed."""
+def json_scalars(files: DataFrame) -> DataFrame:
+    """Every ``"key": scalar`` of JSON files, at any depth, with numbers and with the value on a later line."""
+    pair = r'"((?:[^"\\]|\\.)*+)"\s*:\s*("(?:[^"\\]|\\.)*+"|[^\s,"{}\[\]]+)'
+    content = F.col("content")
+    found = files.where(F.col("file").rlike(JSON_FILES)).select(
+        *_FILE, "content", F.explode(F.regexp_extract_all("content", F.lit(pair), F.lit(0))).alias("_pair"))
+    head = F.substring(content, F.lit(1), F.instr(content, F.col("_pair")) - 1)
+    return found.select(
+        *_FILE, (F.length(head) - F.length(F.replace(head, F.lit("\n"))) + 1).cast("int").alias("line"),
+        F.regexp_extract("_pair", pair, 1).alias("key"), F.regexp_replace(F.regexp_extract("_pair", pair, 2), '^"|"$', "").alias("raw"))
+
+
+def is_verifiable(free_text: str | None = None) -> Column:
+    """True for files that can be checked: of a known kind and well-formed.
+
+    ``free_text`` is a pattern of names that are known to be free text, where only assignments are looked for.
+    """
     name = F.col("file")
-    known = name.rlike(f"{PROPERTIES_FILES}|{JVM_FILES}|{XML_FILES}|{JSON_FILES}")
+    known = name.rlike(f"{PROPERTIES_FILES}|{JVM_FILES}|{XML_FILES}|{JSON_FILES}" + (f"|{free_text}" if free_text else ""))
+    xml = F.from_xml("content", "_broken string, property array<struct<name: string>>", {"columnNameOfCorruptRecord": "_broken"})
+    broken_xml = name.rlike(XML_FILES) & (xml.isNull() | xml["_broken"].isNotNull())
     broken_json = name.rlike(JSON_FILES) & F.try_parse_json("content").isNull()
-    broken_xml = name.rlike(XML_FILES) & F.from_xml("content", "property array<struct<name: string>>").isNull()
-    return files.where(~known | broken_json | broken_xml).select(*_FILE)
+    return F.coalesce(known & ~broken_json & ~broken_xml & F.col("content").isNotNull(), F.lit(False))
+
+
+def unverifiable(files: DataFrame, free_text: str | None = None) -> DataFrame:
+    """Files that cannot be checked: of no known format, or malformed."""
+    return files.where(~is_verifiable(free_text)).select(*_FILE)
+
+
+def refusal_findings(refused: DataFrame) -> DataFrame:
+    """One high-severity finding per file that cannot be checked and is therefore not returned."""
+    return to_findings(
+        refused,
+        cluster=F.col("cluster"), rule_id="redaction", severity="high", property=F.col("file"),
+        actual="unknown or malformed", expected="a well-formed file of a known kind",
+        rationale="A file that cannot be parsed may hold secrets that the check does not see.",
+        file=F.concat_ws("/", "role", "file"), cause="unverifiable_file",
+    )
 
 
 def redaction_findings(violations: DataFrame) -> DataFrame:
@@ -76,8 +108,9 @@ def config_detail(
     cluster: str | None = None,
     role: str | None = None,
     file: str | None = None,
+    free_text: str | None = None,
 ) -> DataFrame:
-    """Content of files that passed verification; any file with a violation is absent.
+    """Content of files that passed verification; one with a violation, or that cannot be checked, is absent.
 
     Files with violations are few and are broadcast after a count, which spares the
     contents a shuffle; should they be many, they are joined by key.
@@ -87,6 +120,5 @@ def config_detail(
         if value is not None:
             wanted = wanted.where(F.col(name) == value)
     refused = broadcast_if_small(violations.select(*_FILE).distinct())
-    return wanted.join(refused, _FILE, "left_anti").select(
-        *_FILE, "content", F.lit(True).alias("redaction_verified")
-    )
+    checked = wanted.withColumn("redaction_verified", is_verifiable(free_text)).where("redaction_verified")
+    return checked.join(refused, _FILE, "left_anti").select(*_FILE, "content", "redaction_verified")

@@ -61,15 +61,20 @@ def column_share(column_stats: DataFrame, scan_columns: DataFrame) -> DataFrame:
     )
 
 
+_FIRST_KEY, _LAST_KEY = -(1 << 62), 1 << 62
+
+
 def estimate_scan(
     scans: DataFrame, table_files: DataFrame, thresholds: DataFrame, shares: DataFrame | None = None
 ) -> DataFrame:
     """``scan_id, table_id, partitions, estimated_scan_bytes, estimated_cost, safe_to_run, warnings``.
 
     ``scans`` covers partition keys ``low`` to ``high`` (whole numbers, both inclusive) of a
-    table. Each distinct range is answered from two running sums, so scans are never
+    table; a NULL bound is an open end. Each distinct range is answered from two running sums, so scans are never
     paired with partitions. Cost is bytes times the share of the columns read.
     """
+    # An open end, given as NULL, reaches to the end of all keys.
+    scans = scans.withColumns({"low": F.coalesce(F.col("low").cast("bigint"), F.lit(_FIRST_KEY)), "high": F.coalesce(F.col("high").cast("bigint"), F.lit(_LAST_KEY))})
     ranges = scans.select("table_id", "low", "high").distinct()
     ends = F.array(
         F.struct((F.col("low") - 1).alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("high").alias("at"), F.lit(1).alias("sign"))

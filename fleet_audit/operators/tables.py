@@ -102,7 +102,8 @@ def stats_stale(recorded: DataFrame, measured: DataFrame, thresholds: DataFrame)
         side.groupBy("table_id").agg(F.max("row_count").alias(name))
         for side, name in ((recorded, "recorded_rows"), (measured, "measured_rows"))
     ]
-    joined = sides[0].join(sides[1], "table_id")
+    # A table on one side only has no difference to measure, so what is recorded of it is stale.
+    joined = sides[0].join(sides[1], "table_id", "full_outer")
     off = F.abs(F.col("recorded_rows") - F.col("measured_rows")) > (
         F.col("threshold") * F.greatest(F.col("measured_rows"), F.lit(1))
     )

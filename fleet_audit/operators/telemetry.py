@@ -24,7 +24,7 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     The ``= 1`` filter lets Spark keep one row per query in each task before the
     shuffle, so a query captured very often does not flood one task.
     """
-    order = Window.partitionBy(*_QUERY).orderBy(F.desc("captured_at"), F.desc("snapshot_id"))
+    order = Window.partitionBy(*_QUERY).orderBy(*[F.desc(c) for c in ("captured_at", "snapshot_id") if c in snapshots.columns])
     return snapshots.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

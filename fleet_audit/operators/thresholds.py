@@ -40,6 +40,8 @@ class Thresholds:
             return cls(table, None)
         values: dict[tuple[str, str], dict[str | None, float]] = {}
         for row in rows:
+            if row.value is None:
+                continue  # no limit given: as if the row were absent, like max() in the join below
             known = values.setdefault((row.detector, row.name), {})
             known[row.fleet] = max(row.value, known.get(row.fleet, row.value))
         return cls(table, values)

@@ -89,7 +89,7 @@ def redaction_violations(spark, sf_dir):
 def config_detail(spark, sf_dir):
     files = standins.document_files(spark, sf_dir)
     violations = redaction.verify_redaction(parsers.assignment_entries(files), DOCUMENT_PATTERNS)
-    return redaction.config_detail(files, violations).select(
+    return redaction.config_detail(files, violations, free_text="^doc-").select(
         "cluster", "file", F.length("content").cast("bigint").alias("chars"), F.md5("content").alias("digest"),
         "redaction_verified")
 
@@ -502,6 +502,13 @@ ORACLES = {
         union all select cluster, 'heap_mismatch', 'medium' from heaps
         union all select cluster, 'catalog_hms_mismatch', 'high' from wrong_hms
         union all select cluster, 'environment_drift', 'medium' from drift
+        union all select cluster, 'fleet_environment_drift', 'low' from
+          (select cluster, raw as usual from entries where key = 'node.environment' group by cluster, raw
+             qualify row_number() over (partition by cluster order by count(*) desc, raw) = 1) c,
+          (select usual as fleet from (select cluster, raw as usual from entries where key = 'node.environment' group by cluster, raw
+             qualify row_number() over (partition by cluster order by count(*) desc, raw) = 1)
+             group by usual order by count(*) desc, usual limit 1) f
+        where usual <> fleet
         union all select cluster, 'redaction', 'high' from exposed) group by all""",
         "heaps", "wrong_hms", "usual_env", "drift", "exposed"),
     "enrich": _sql("""

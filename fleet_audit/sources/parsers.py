@@ -40,10 +40,11 @@ def _line_of(content: Column, needle: Column) -> Column:
 def properties_entries(files: DataFrame) -> DataFrame:
     """``key=value``, ``key = value`` and ``key: value`` lines; comments are skipped.
 
-    A line that ends in a backslash goes on in the next one and keeps the number of
-    its first line.
+    A line that ends in an odd number of backslashes goes on in the next one and keeps the
+    number of its first line. A comment line never goes on.
     """
-    joined = F.regexp_replace("content", r"\\\r?\n[ \t]*", _JOINT)
+    comments = F.regexp_replace("content", r"(?m)^([ \t]*[#!][^\r\n]*?)\\+(\r?)$", "$1$2")
+    joined = F.regexp_replace(comments, r"(?<!\\)((?:\\\\)*)\\\r?\n[ \t]*", "$1" + _JOINT)
     lines = _of_kind(files, PROPERTIES_FILES).withColumn("_text", joined).select(
         *_KEYS, "_text", F.posexplode(F.split("_text", r"\r?\n")).alias("_pos", "_line")
     )
@@ -85,18 +86,18 @@ def jvm_entries(files: DataFrame) -> DataFrame:
 
 
 def hive_site_entries(files: DataFrame) -> DataFrame:
-    """``<property>`` elements of XML files such as ``hive-site.xml``."""
+    """``<property>`` elements of XML files such as ``hive-site.xml``; a repeated name has the line of each occurrence."""
     schema = "property array<struct<name: string, value: string>>"
     rows = (
         _of_kind(files, XML_FILES)
         .select(*_KEYS, "content", F.from_xml("content", schema).alias("_xml"))
-        .select(*_KEYS, "content", F.explode("_xml.property").alias("_p"))
+        .select(*_KEYS, "content", "_xml", F.posexplode("_xml.property").alias("_i", "_p"))
+        .withColumn("_nth", F.size(F.filter(F.slice("_xml.property", 1, F.col("_i") + 1), lambda p: p["name"] == F.col("_p.name"))))
     )
     name = F.trim("_p.name")
-    line = F.coalesce(
-        _line_of(F.col("content"), F.concat(F.lit("<name>"), F.col("_p.name"), F.lit("</name>"))),
-        _line_of(F.col("content"), name),
-    )
+    tag = F.concat(F.lit("<name>"), F.col("_p.name"), F.lit("</name>"))
+    head = F.call_function("substring_index", F.col("content"), tag, F.col("_nth"))
+    line = F.when(F.instr(F.col("content"), tag) > 0, F.length(head) - F.length(F.replace(head, F.lit("\n"))) + 1).otherwise(_line_of(F.col("content"), name))
     return _entries(rows, line, name, F.trim(F.coalesce("_p.value", F.lit(""))))
 
 
@@ -115,7 +116,9 @@ def ranger_entries(files: DataFrame) -> DataFrame:
             F.explode(F.try_variant_get("_policy", "$", "map<string, variant>")).alias("_field", "_value"),
         )
     )
-    line = _line_of(F.col("content"), F.concat(F.lit('"id": '), F.col("_id")))
+    at = F.regexp_instr("content", F.concat(F.lit(r'"id"\s*:\s*"?\Q'), F.col("_id"), F.lit(r"\E(?![A-Za-z0-9_.-])")))
+    head = F.substring(F.col("content"), F.lit(1), at - 1)
+    line = F.when(at > 0, F.length(head) - F.length(F.replace(head, F.lit("\n"))) + 1)
     text = F.coalesce(F.try_variant_get("_value", "$", "string"), F.to_json("_value"))
     return _entries(policies, line, F.concat_ws(".", F.lit("policy"), "_id", "_field"), text)
 

@@ -18,10 +18,13 @@ _LOCAL: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in a local test, a folder of this machine is used.
+    Only a session that runs in one process may do without: it uses a folder of this machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
         root = _LOCAL[0]

@@ -73,7 +73,7 @@ def test_assignments_are_found_in_nested_json(spark):
 @pytest.mark.parametrize("raw, kind, num", [
     ("1kB", "size", 1024), ("2 MB", "size", 2 * 2**20), ("3TB", "size", 3 * 2**40), ("7B", "size", 7),
     ("100ms", "duration", 100), ("2d", "duration", 172_800_000), ("TRUE", "boolean", 1), ("12", "number", 12),
-    ("lots", "text", None), ("", "text", None), ("5XB", "text", None), ("9" * 20, "text", None), ("-5", "text", None),
+    ("lots", "text", None), ("", "text", None), ("5XB", "text", None), ("9" * 40, "text", None), ("9" * 20, "number", int("9" * 20)), ("-5", "number", -5),
 ])
 def test_normalized_values(spark, raw, kind, num):
     row = normalize_values(spark.createDataFrame([("config.properties", raw)], "file string, raw string")).first()
