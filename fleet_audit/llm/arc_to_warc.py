@@ -22,7 +22,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -179,7 +179,7 @@ def _arc_header(line: bytes, version: int | None) -> tuple[str, str, str, str, s
     known = _ARC_FIELDS.get(version or 0)
     if (known and len(fields) != known) or len(fields) not in _ARC_FIELDS.values() or not fields[-1].isdigit():
         return None
-    if not re.fullmatch(r"\d{4,14}", fields[2]):
+    if not _is_date(fields[2]):
         return None
     return *fields[:4], fields[4] if len(fields) == 10 else None, int(fields[-1])
 
@@ -189,9 +189,20 @@ def _arc_header(line: bytes, version: int | None) -> tuple[str, str, str, str, s
 
 def warc_fields(file: str, place: int, url: str, date: str) -> tuple[str, str]:
     """The record identifier and the timestamp that a record of an ARC file gets."""
-    identifier = f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{file}#{place}')}>"
-    moment = datetime.strptime(date.ljust(14, "0") if len(date) > 8 else date.ljust(8, "0").replace("00", "01") + "000000", "%Y%m%d%H%M%S")
-    return identifier, moment.replace(tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{file}#{place}')}>", _moment(date).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def _moment(date: str) -> datetime:
+    """The moment of an ARC date of 4 to 14 digits: the parts it lacks are the first month and day and midnight."""
+    month, day = date[4:6] or "01", date[6:8] or "01"
+    return datetime.strptime(date[:4] + month + day + date[8:].ljust(6, "0"), "%Y%m%d%H%M%S")
+
+
+def _is_date(date: str) -> bool:
+    try:
+        return re.fullmatch(r"\d{4,14}", date, re.ASCII) is not None and _moment(date) is not None
+    except ValueError:
+        return False
 
 
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, order: Column | None = None) -> None:

@@ -5,7 +5,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from fleet_audit.llm.arc_to_warc import arc_to_warc, read_arc, read_warc, warc_fields, write_arc
+from fleet_audit.llm.arc_to_warc import _is_date, arc_to_warc, read_arc, read_warc, warc_fields, write_arc
 from fleet_audit.llm.op2_warc import op2_arc_to_warc
 
 PAYLOADS = [b"", b"x", b"\n", b"\r\n\r\n", b"a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n", b"y" * 99, b"z" * 100, b"z" * 100, "ü€".encode() * 60, b"end\n\n\n", bytes(range(256)) * 3]
@@ -50,6 +50,8 @@ def test_foreign_archives(spark, tmp_path):
 def test_identifiers_and_short_dates():
     assert warc_fields("f", 1, "u", "2001")[1] == "2001-01-01T00:00:00Z"
     assert warc_fields("f", 1, "u", "20010203")[1] == "2001-02-03T00:00:00Z"
+    assert warc_fields("f", 1, "u", "200102")[1] == "2001-02-01T00:00:00Z"
+    assert [_is_date(d) for d in ("2001", "20011301", "20010230", "200", "2001010203", "20010102030405", "١٢٣٤")] == [True, False, False, False, True, True, False]
     assert warc_fields("f", 1, "u", "20010203")[0] != warc_fields("f", 2, "u", "20010203")[0]
 
 
