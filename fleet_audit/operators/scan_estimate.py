@@ -69,10 +69,12 @@ def estimate_scan(
 ) -> DataFrame:
     """``scan_id, table_id, partitions, estimated_scan_bytes, estimated_cost, safe_to_run, warnings``.
 
+    Listings whose keys are no whole numbers count as not listed, so a scan of them is not called safe.
     ``scans`` covers partition keys ``low`` to ``high`` (whole numbers, both inclusive) of a
     table; a NULL bound is an open end. Each distinct range is answered from two running sums, so scans are never
     paired with partitions. Cost is bytes times the share of the columns read.
     """
+    table_files = table_files.withColumn("part", F.col("part").try_cast("bigint")).where("part is not null")
     # An open end, given as NULL, reaches to the end of all keys.
     scans = scans.withColumns({"low": F.coalesce(F.col("low").cast("bigint"), F.lit(_FIRST_KEY)), "high": F.coalesce(F.col("high").cast("bigint"), F.lit(_LAST_KEY))})
     ranges = scans.select("table_id", "low", "high").distinct()

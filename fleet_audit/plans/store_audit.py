@@ -245,7 +245,7 @@ ORACLES = {
                concat('s', l_linenumber % 2) as stage_id, concat('op', l_linenumber) as task_id,
                l_extendedprice as wall_ms from lineitem""",
     "flatten_query_scans": f"""
-        select {oracle.keys('l_orderkey')}, concat('t', l_partkey % 7) as table_id, cast(l_linenumber % 2 as bigint) as part,
+        select {oracle.keys('l_orderkey')}, concat('t', l_partkey % 7) as table_id, cast(l_linenumber % 2 as varchar) as part,
                'ds' as partition_column, case when l_returnflag = 'A' then 'year(ds) = 1997'
                  when l_returnflag = 'N' then 'cast(ds as varchar) = ''1997'''
                  when l_linestatus = 'O' then 'ds = date ''1997-01-01''' end as predicate from lineitem""",
@@ -254,7 +254,7 @@ ORACLES = {
         _T, ["dynamic_filters", "operators"], f"select * from dynamic_filters where {_HAS_ITEMS}"),
     "fill_from_runtime": oracle.with_ctes(_T, ["query_info"], "select * from query_info"),
     "read_table_metadata": oracle.with_ctes(_T, ["table_files", "column_stats"], """
-        select f.table_id, part, format, count(*) as files, count(*) filter (format = 'PARQUET') as paths,
+        select f.table_id, cast(part as varchar) as part, format, count(*) as files, count(*) filter (format = 'PARQUET') as paths,
                cast(sum(bytes) as bigint) as bytes, any_value(known_ndv) as known_ndv
         from table_files f join (select table_id, count(ndv) as known_ndv from column_stats group by all) s
           on f.table_id = s.table_id group by f.table_id, part, format"""),

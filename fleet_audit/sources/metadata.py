@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FILES = {"table_id": "string", "part": "bigint", "path": "string", "format": "string", "bytes": "bigint"}
+#: Partition keys are text: dates and names are as common as whole numbers.
+_FILES = {"table_id": "string", "part": "string", "path": "string", "format": "string", "bytes": "bigint"}
 _STATS = {"table_id": "string", "column_name": "string", "ndv": "bigint", "nulls": "bigint",
           "size": "bigint", "row_count": "bigint"}
 

@@ -42,7 +42,7 @@ PATH_MAP = (
     ("operators", "build_bytes", 2, "$.build_bytes", "long"),
     ("operators", "spilled_bytes", 2, "$.spilled_bytes", "long"),
     ("scans", "table_id", 1, "$.table", "string"),
-    ("scans", "part", 1, "$.partition", "long"),
+    ("scans", "part", 1, "$.partition", "string"),
     ("scans", "partition_column", 1, "$.partition_column", "string"),
     ("scans", "predicate", 1, "$.predicate", "string"),
     ("scan_files", "table_id", 1, "$.table", "string"),

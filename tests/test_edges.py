@@ -119,3 +119,19 @@ def test_the_last_capture_counts(spark):
     rows = [("c", "q", 1, "a"), ("c", "q", 2, "b")]
     df = spark.createDataFrame(rows, "cluster string, query_id string, captured_at int, document string")
     assert [r.document for r in telemetry.latest_snapshot(df).collect()] == ["b"]
+
+
+def test_text_partitions(spark):
+    from fleet_audit.operators.detectors import no_partition_pruning
+    from fleet_audit.sources.metadata import combine_listings
+
+    days = spark.createDataFrame([("t", f"2024-01-0{d}", "ORC", 10) for d in range(1, 5)], "table_id string, part string, format string, bytes bigint")
+    listing = combine_listings(days, days.limit(0))
+    assert {r.part for r in listing.collect()} == {f"2024-01-0{d}" for d in range(1, 5)}
+    scans = spark.createDataFrame(
+        [("f", "c", "q", "t", f"2024-01-0{d}", "ds", None) for d in range(1, 5)],
+        "fleet string, cluster string, query_id string, table_id string, part string, partition_column string, predicate string")
+    found = no_partition_pruning.detect({"scans": scans, "table_files": listing}, default_thresholds(spark)).collect()
+    assert [r.actual for r in found] == ["4 of 4"]
+    asked = spark.createDataFrame([("a", "t", None, None)], "scan_id string, table_id string, low bigint, high bigint")
+    assert not scan_estimate.estimate_scan(asked, listing, default_thresholds(spark)).first().safe_to_run
