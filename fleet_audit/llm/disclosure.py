@@ -112,11 +112,10 @@ def disclosing_pairs(docs: DataFrame, near: DataFrame, found: DataFrame) -> Data
     by_text = met.groupBy("entity", "term", "digest").agg(F.sum("copies").alias("n"))
     both = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT)
     counted = both.withColumn("term_hash", F.xxhash64("term")).join(term_counts(docs), "term_hash").join(entities, "entity")
-    total = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    n = F.col("n_docs")
+    n = docs.agg(F.count(F.lit(1))).scalar()
     information = F.log(n / F.col("n_entity"))
     mutual = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
-    revealed = counted.join(F.broadcast(total)).withColumn("revealed", F.when(information > 0, mutual / information).otherwise(0.0))
+    revealed = counted.withColumn("revealed", F.when(information > 0, mutual / information).otherwise(0.0))
     return revealed.filter(F.col("revealed") >= THRESHOLD).select("entity", "term", "revealed")
 
 
