@@ -22,7 +22,7 @@ from fleet_audit.llm.shared import dropped, kept
 #: Rounds at most; propagation ends earlier when no document moves.
 ROUNDS = 12
 #: Rows numbered together in one task, and the buckets in which moves of one pull are admitted.
-NUMBERED_TOGETHER = 1_000_000
+NUMBERED_TOGETHER = 10_000
 MOVE_BUCKETS = 256
 
 
