@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from fleet_audit import fixed_values
 from fleet_audit.findings import all_findings, rule_id_delta
-from fleet_audit.functions.versions import gate_array, version_array
+from fleet_audit.functions.nesting import nest_rows
+from fleet_audit.functions.text import normalized
+from fleet_audit.functions.versions import gate_array, version_array, version_in_gate
 from fleet_audit.operators import clusters, consistency, enrich, normalize, redaction, rules, versions
 from fleet_audit.operators.audit import audit_config
 from fleet_audit.operators.scope import resolve_scope
@@ -384,7 +386,34 @@ _PAIRS = """select cluster, file, line, key, raw from (
                     unnest(regexp_extract_all(l, '([A-Za-z_][A-Za-z0-9_.-]*)"?\\s*[=:]\\s*"([^"]*)"', 2)) as raw)"""
 _SECRET_KEY = "regexp_matches(lower(key), 'password|secret|keytab|credential|token')"
 
+def signed_numbers(spark, sf_dir):
+    """Raw values with a sign and seven decimals, one per line item."""
+    sign = F.when(C("l_linenumber") % 2 == 0, "-").otherwise("+")
+    raw = F.concat(sign, C("l_partkey").cast("string"), F.lit("."), F.lpad(C("l_suppkey").cast("string"), 7, "0"))
+    items = standins.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
+    return normalized(items, F.lit(False)).select("l_orderkey", "l_linenumber", "kind", C("num").cast("double").alias("num"))
+
+
+def long_versions(spark, sf_dir):
+    """Versions of four parts against a gate that differs in the fourth only."""
+    parts = [C(c).cast("int").cast("string") for c in ("l_linenumber", "l_quantity", "l_partkey")]
+    version, gate = F.concat_ws(".", *parts, C("l_suppkey").cast("string")), F.concat(F.lit(">"), F.concat_ws(".", *parts, F.lit("5")))
+    return standins.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", version_in_gate(version_array(version), gate_array(gate)).alias("met"))
+
+
+def ordered_parts(spark, sf_dir):
+    """Line items nested under their flag, 500 a part, and taken apart again with part and place."""
+    items = standins.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    nested = nest_rows(items, ["l_returnflag"], F.struct("l_orderkey", "l_linenumber"), "items", rows_per_part=500)
+    return nested.select("l_returnflag", "part", "parts", F.posexplode("items").alias("place", "i")).select(
+        "l_returnflag", "part", "parts", "place", "i.l_orderkey", "i.l_linenumber")
+
+
 QUERIES = {
+    "signed_numbers": signed_numbers,
+    "long_versions": long_versions,
+    "ordered_parts": ordered_parts,
     "properties_entries": properties_entries,
     "jvm_entries": jvm_entries,
     "hive_site_entries": hive_site_entries,
@@ -424,6 +453,15 @@ QUERIES = {
 
 _LINE = "cast(line as bigint) as line"
 ORACLES = {
+    "signed_numbers": """
+        select l_orderkey, l_linenumber, 'number' as kind, cast(cast(concat(case when l_linenumber % 2 = 0 then '-' else '+' end,
+               l_partkey, '.', lpad(cast(l_suppkey as varchar), 7, '0')) as decimal(30, 6)) as double) as num from lineitem""",
+    "long_versions": "select l_orderkey, l_linenumber, l_suppkey > 5 as met from lineitem",
+    "ordered_parts": """
+        select l_returnflag, cast(n // 500 as integer) as part, cast((total + 499) // 500 as integer) as parts, cast(n % 500 as integer) as place,
+               l_orderkey, l_linenumber
+        from (select *, row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber) - 1 as n,
+                     count(*) over (partition by l_returnflag) as total from lineitem)""",
     "properties_entries": _sql(f"select * replace ({_LINE}) from props"),
     "jvm_entries": _sql(f"select * replace ({_LINE}) from jvm"),
     "hive_site_entries": _sql(f"select * replace ({_LINE}) from hms"),
