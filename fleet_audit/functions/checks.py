@@ -56,6 +56,30 @@ def names_used(check: str) -> set[str]:
     return used
 
 
+def typed_check(check: str) -> str:
+    """The check with the sides of its comparisons brought to one type, so that no entry can make it fail.
+
+    Raw text next to a number is read as a number and is NULL, hence not fired, where it is none; a number next to
+    quoted text is compared as text.
+    """
+    tokens = [(match.lastgroup, match[match.lastgroup]) for match in _TOKEN.finditer(check.strip())]
+
+    def beside(k: int, kind: str) -> bool:
+        return any(
+            0 <= k + step < len(tokens) and tokens[k + step][0] == "sign" and tokens[k + step][1] not in "(),"
+            and 0 <= k + 2 * step < len(tokens) and tokens[k + 2 * step][0] == kind
+            for step in (-1, 1))
+
+    out = []
+    for k, (kind, written) in enumerate(tokens):
+        if kind == "word" and written.lower() == "text" and beside(k, "number"):
+            written = "try_cast(text as double)"
+        elif kind == "word" and written.lower() in ("value", "jvm_heap", "total_heap", "total_nodes") and beside(k, "text"):
+            written = f"cast({written} as string)"
+        out.append(written)
+    return " ".join(out)
+
+
 def validate_catalogue(rules: Sequence[Row]) -> dict[str, set[str]]:
     """Names used by each check; raises when a rule could not be evaluated or told apart."""
     seen: set[str] = set()

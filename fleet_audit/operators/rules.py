@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fleet_audit.findings import all_findings, to_findings
 from fleet_audit.functions.bounds import bounded_rows
-from fleet_audit.functions.checks import validate_catalogue
+from fleet_audit.functions.checks import typed_check, validate_catalogue
 from fleet_audit.functions.text import human_bytes, plain_number
 from fleet_audit.functions.versions import version_in_gate
 from fleet_audit.operators.normalize import rules_in_scope
@@ -117,9 +117,9 @@ def _outcomes(entries: DataFrame, rules: DataFrame, snapshot: DataFrame, scopes)
             _matched(entries, rules, snapshot, part), entries, set().union(*[used[c] for c in checks])
         ).withColumns({"value": F.col("num"), "text": F.col("raw")})
         passed = reduce(
-            lambda chain, c: chain.when(F.col("check") == c, F.expr(c)),
+            lambda chain, c: chain.when(F.col("check") == c, F.expr(typed_check(c))),
             checks[1:],
-            F.when(F.col("check") == checks[0], F.expr(checks[0])),
+            F.when(F.col("check") == checks[0], F.expr(typed_check(checks[0]))),
         )
         results.append(frame.withColumn("passed", passed))
     return results

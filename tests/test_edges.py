@@ -135,3 +135,13 @@ def test_text_partitions(spark):
     assert [r.actual for r in found] == ["4 of 4"]
     asked = spark.createDataFrame([("a", "t", None, None)], "scan_id string, table_id string, low bigint, high bigint")
     assert not scan_estimate.estimate_scan(asked, listing, default_thresholds(spark)).first().safe_to_run
+
+
+@pytest.mark.parametrize("check, met", [
+    ("text <= 16", [True, None]), ("16 >= text", [True, None]), ("value = 'production'", [False, None]), ("text = 'production'", [False, True]), ("value <= 16 and text <> 'x'", [True, None]),
+])
+def test_checks_of_mixed_types_do_not_fail(spark, check, met):
+    from fleet_audit.functions.checks import typed_check
+
+    rows = spark.createDataFrame([(Decimal(8), "8"), (None, "production")], "value decimal(38,6), text string")
+    assert [r[0] for r in rows.select(F.expr(typed_check(check))).collect()] == met
