@@ -73,12 +73,13 @@ def repeated_chunks(texts: DataFrame) -> DataFrame:
     """``id, digest, start, lines``: the chunks of ``texts`` (``id, digest, text``) that stand elsewhere before."""
     found = kept(chunks_of(texts), "chunks")
     often = kept(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "often")
-    candidates = found.join(often, "hash")
+    candidates = found.join(often, "hash").groupBy("id", "digest").agg(F.collect_set(F.struct("start", "lines", "hash")).alias("chunks"))
     with_text = candidates.join(texts, _same_text(candidates, texts)).select(
-        "hash", candidates["id"], candidates["digest"], "start", "lines", split_lines(F.col("text")).alias("text_lines"))
-    chunk = F.array_join(F.transform(F.slice("text_lines", F.col("start") + 1, F.col("lines")), _bare), "\n")
+        candidates["id"], candidates["digest"], "chunks", F.transform(split_lines(F.col("text")), _bare).alias("text_lines"))
+    chunk = F.array_join(F.slice("text_lines", F.col("c.start") + 1, F.col("c.lines")), "\n")
+    exploded = with_text.select("id", "digest", "text_lines", F.explode("chunks").alias("c")).select("id", "digest", "c.hash", "c.start", "c.lines", chunk.alias("chunk"))
     place = F.struct(F.col("id").isNull().alias("unknown"), "id", "digest", "start")
-    compared = kept(with_text.select("hash", "id", "digest", "start", "lines", chunk.alias("chunk"), place.alias("place")), "candidates")
+    compared = kept(exploded.withColumn("place", place), "candidates")
     first = compared.groupBy("hash", "chunk").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     later = compared.join(first.filter("first != last").drop("last"), ["hash", "chunk"])
     return later.filter("place != first").select("id", "digest", "start", "lines")
