@@ -39,8 +39,8 @@ CHI_SQUARE = 20.0902
 SAMPLE = 65_536
 MAX_CELLS = 4_096
 CELL_ROWS = 8_192
-_LEAF = 64
-_BLOCK = 32
+_LEAF = 256
+_BLOCK = 128
 
 
 def directions(dimensions: int) -> np.ndarray:
@@ -149,15 +149,17 @@ class _Cell:
             first, last = self.tree.leaves[leaf]
             gap = self.projections[first:last] - point
             rows, near = np.concatenate((rows, np.arange(first, last))), np.concatenate((near, (gap * gap).sum(axis=1)))
-            order = np.argsort(near, kind="stable")
-            rows, near = rows[order], near[order]
-            # Points nearer than the next box come next in projected order.
+            # Points nearer than the next box come next in projected order; those beyond the stopping distance never do.
             ahead = far[leaves[turn + 1]] if turn + 1 < len(leaves) else np.inf
-            while len(rows) and near[0] <= ahead:
-                take = min(_BLOCK, int(np.searchsorted(near, ahead, side="right")))
-                if near[0] > CHI_SQUARE * limit * limit:
-                    return best_ids, best
-                block, rows, near = rows[:take], rows[take:], near[take:]
+            now = np.flatnonzero(near <= min(ahead, CHI_SQUARE * limit * limit))
+            order = now[np.argsort(near[now], kind="stable")]
+            later = (near > ahead) & (near <= CHI_SQUARE * limit * limit)
+            ready, at_distance = rows[order], near[order]
+            rows, near = rows[later], near[later]
+            for start in range(0, len(ready), _BLOCK):
+                if at_distance[start] > CHI_SQUARE * limit * limit:
+                    break
+                block = ready[start : start + _BLOCK]
                 difference = self.vectors[block] - vector
                 distance = np.sqrt((difference * difference).sum(axis=1))
                 which = np.repeat(np.arange(len(block)), self.sizes[block])
