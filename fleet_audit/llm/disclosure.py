@@ -1,12 +1,14 @@
 """Personal data in texts, and the terms that give it away.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and telephone numbers. Each value
-found is an entity to protect. Words near an entity are then weighed by what the whole corpus knows:
-with the shares of documents that hold the entity, the term, and the term near the entity, the
-pointwise mutual information of the two against the information of the entity says how much of it
-the term reveals. A term above the threshold, seen with the entity in several different texts,
-gets a span of its own in every document that shows it near that entity. Terms that reveal the
-whole entity are removed from the sanitised text, the others are generalised to a placeholder.
+found is an entity to protect. Every term of a text that holds an entity, wherever it stands, is then
+weighed by what the whole corpus knows: with the shares of documents that hold the entity, the term,
+and both, the pointwise mutual information of the two against the information of the entity says how
+much of it the term reveals. A term above the threshold gets a span of its own wherever it stands in
+the texts with that entity; the entity may stand in one text only. A term that stands in a single
+text has no use that the corpus knows, so nothing can be said about it, and it gets no span. Terms
+that reveal the whole entity are removed from the sanitised text, the others are generalised to a
+placeholder.
 
 A null text counts as empty and has no spans. Rows equal in id and text are treated alike; copies of
 one text count as documents but as one piece of evidence. Empty tables give no rows.
@@ -15,15 +17,13 @@ one text count as documents but as one piece of evidence. Empty tables give no r
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleet_audit.llm.shared import kept
 
-#: Characters on either side of an entity in which a term counts as near it.
-CONTEXT = 80
-#: Share of the information of an entity that a term may reveal, and the different texts it must be seen in with it.
+#: Share of the information of an entity that a term may reveal.
 THRESHOLD = 0.8
-SUPPORT = 2
 KINDS = ("email", "ip", "card", "phone", "term")
 
 # The contract's patterns. Quantifiers that never need to give back are possessive, and a run of
@@ -35,24 +35,23 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 _TERM = r"\p{L}[\p{L}\p{N}'-]{2,}"
 
-_SPAN = "struct<start:int,end:int,kind:int,value:string,left:string,right:string>"
+_SPAN = "struct<start:int,end:int,kind:int,value:string>"
 
 
 def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
 
-def _spans(text: Column, pattern: str, kind: int, holds, value, context: bool) -> Column:
+def _spans(text: Column, pattern: str, kind: int, holds, value) -> Column:
     """Spans of the matches of ``pattern`` that hold, in code points; the pieces between matches give the positions."""
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(matches)), matches, F.slice(pieces, 2, F.size(matches)))
+    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(matches)), matches)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["0"])
         end = start + F.length(x["1"])
-        left, right = (F.right(x["0"], F.lit(CONTEXT)), F.left(x["2"], F.lit(CONTEXT))) if context else (F.lit(""), F.lit(""))
-        span = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value(x["1"]).alias("value"), left.alias("left"), right.alias("right")))
+        span = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value(x["1"]).alias("value")))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.when(holds(x["1"]), span).otherwise(_none())).alias("out"))
 
     return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda acc: acc["out"])
@@ -67,10 +66,10 @@ def base_spans(text: Column) -> Column:
     def number(low: int, high: int):
         return lambda m: F.length(_digits(m)).between(low, high)
 
-    email = F.when(F.contains(text, F.lit("@")), _spans(text, _EMAIL, 0, lambda m: F.lit(True), F.lower, True))
-    ip = F.when(text.rlike(r"[0-9]\.[0-9]"), _spans(text, _IP, 1, lambda m: m.rlike(_IP_PARTS), lambda m: m, True))
-    card = F.when(text.rlike("[0-9]"), _spans(text, _CARD, 2, lambda m: number(14, 19)(m) & F.call_function("luhn_check", _digits(m)), _digits, True))
-    phone = F.when(F.contains(text, F.lit("+")), _spans(text, _PHONE, 3, number(10, 15), _digits, True))
+    email = F.when(F.contains(text, F.lit("@")), _spans(text, _EMAIL, 0, lambda m: F.lit(True), F.lower))
+    ip = F.when(text.rlike(r"[0-9]\.[0-9]"), _spans(text, _IP, 1, lambda m: m.rlike(_IP_PARTS), lambda m: m))
+    card = F.when(text.rlike("[0-9]"), _spans(text, _CARD, 2, lambda m: number(14, 19)(m) & F.call_function("luhn_check", _digits(m)), _digits))
+    phone = F.when(F.contains(text, F.lit("+")), _spans(text, _PHONE, 3, number(10, 15), _digits))
     return F.array_sort(F.concat(*(F.coalesce(k, _none()) for k in (email, ip, card, phone))), _by_start)
 
 
@@ -81,42 +80,67 @@ def _by_start(a: Column, b: Column) -> Column:
     return F.when(a["start"] != b["start"], sign(a["start"], b["start"])).otherwise(sign(a["kind"], b["kind"]))
 
 
+def _terms(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), lambda t: F.lower(t))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """``term_hash, n_term``: documents with each term."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
-    exploded = docs.select(F.explode(F.transform(terms, lambda t: F.xxhash64(t))).alias("term_hash"))
-    return exploded.groupBy("term_hash").agg(F.count(F.lit(1)).alias("n_term"))
-
-
-def near_terms(found: DataFrame) -> DataFrame:
-    """``id, digest, entity, term, start, end``: the words near each base span, other base spans left out."""
-    def placed(side: str, first: Column) -> Column:
-        spans = _spans(F.col(f"s.{side}"), _TERM, KINDS.index("term"), lambda m: F.lit(True), F.lower, False)
-        return F.transform(spans, lambda t: F.struct((t["start"] + first).alias("start"), (t["end"] + first).alias("end"), t["value"].alias("term")))
-
-    spans = found.select("id", "digest", "spans", F.explode("spans").alias("s"))
-    words = F.concat(placed("left", F.col("s.start") - F.length("s.left")), placed("right", F.col("s.end")))
-    entity = F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("s.kind") + 1), F.col("s.value"))
-    terms = spans.select("id", "digest", "spans", entity.alias("entity"), F.explode(words).alias("w"))
-    clear = ~F.exists("spans", lambda b: (b["start"] < F.col("w.end")) & (F.col("w.start") < b["end"]))
-    return terms.filter(clear).select("id", "digest", "entity", "w.term", "w.start", "w.end").distinct()
-
-
-def disclosing_pairs(docs: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
-    """``entity, term, revealed``: the terms that reveal more of an entity than ``THRESHOLD``."""
-    held = found.select("id", "digest", "copies", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(
-        ":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["value"])))).alias("entity"))
-    entities = held.groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    met = near.select("id", "digest", "entity", "term").distinct().join(
-        found.select(F.col("id").alias("i"), F.col("digest").alias("d"), "copies"), F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")))
-    by_text = met.groupBy("entity", "term", "digest").agg(F.sum("copies").alias("n"))
-    both = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT)
-    counted = both.withColumn("term_hash", F.xxhash64("term")).join(term_counts(docs), "term_hash").join(entities, "entity")
+    """``term_hash, n_term``: documents with each term that stands in several different texts."""
+    hashes = F.array_distinct(F.transform(_terms(F.col("text")), lambda t: F.xxhash64(t)))
+    exploded = docs.select("digest", F.explode(hashes).alias("term_hash"))
+    counted = exploded.groupBy("term_hash").agg(F.count(F.lit(1)).alias("n_term"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    return counted.filter("low != high").select("term_hash", "n_term")
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """``text`` with blanks in place of its base spans, so that all positions stay."""
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
+        whole = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.repeat(F.lit(" "), s["end"] - s["start"]))).alias("out"))
+        rest = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.repeat(F.lit(" "), s["end"] - acc["at"]))).alias("out"))
+        return F.when(s["start"] >= acc["at"], whole).when(s["end"] > acc["at"], rest).otherwise(acc)
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+
+
+def held_entities(found: DataFrame) -> DataFrame:
+    """``digest, size, copies, held, n_entity`` per text and set of entities in it that stand in the same texts.
+
+    Entities of the same texts are revealed alike by every term, so ``held`` stands for all of them; the
+    entities that only one text holds are one row of it.
+    """
+    entity = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"]))
+    each = found.select("digest", "size", "copies", F.explode(F.array_distinct(entity)).alias("entity"))
+    mark = F.xxhash64(F.lit("held"), "digest", "size")
+    of_entity = each.groupBy("entity").agg(
+        F.sum("copies").alias("n_entity"), F.struct(F.count(F.lit(1)).alias("texts"), F.bit_xor("digest").alias("x"), F.bit_xor(mark).alias("y")).alias("held"))
+    return each.join(of_entity, "entity").select("digest", "size", "copies", "held", "n_entity").distinct()
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``digest, size, term, revealed``: the terms of each text that reveal ``THRESHOLD`` or more of an entity in it."""
     n = docs.agg(F.count(F.lit(1))).scalar()
+    near = found.select("digest", "size", F.explode(F.array_distinct(_terms(F.col("rest")))).alias("term"))
+    known = near.withColumn("term_hash", F.xxhash64("term")).join(term_counts(docs), "term_hash").select("digest", "size", "term", "n_term")
     information = F.log(n / F.col("n_entity"))
+    # A term is seen with an entity in no more documents than hold the entity; what is too common to reveal enough even then is left out early.
+    met = known.join(held_entities(found), ["digest", "size"]).filter((information > 0) & (F.log(n / F.col("n_term")) >= THRESHOLD * information - 1e-9))
+    both = met.groupBy("held", "term").agg(F.sum("copies").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
     mutual = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
-    revealed = counted.withColumn("revealed", F.when(information > 0, mutual / information).otherwise(0.0))
-    return revealed.filter(F.col("revealed") >= THRESHOLD).select("entity", "term", "revealed")
+    revealing = both.withColumn("revealed", mutual / information).filter(F.col("revealed") >= THRESHOLD).select("held", "term", "revealed")
+    return met.join(revealing, ["held", "term"]).groupBy("digest", "size", "term").agg(F.max("revealed").alias("revealed"))
+
+
+def term_spans(found: DataFrame, given: DataFrame) -> DataFrame:
+    """``digest, size, start, end, term, revealed`` wherever a term of ``given`` stands in its text."""
+    shown = found.join(given.select("digest", "size").distinct(), ["digest", "size"], "left_semi")
+    matches = F.regexp_extract_all(F.col("rest"), F.lit(_TERM), F.lit(0))
+    words = F.arrays_zip(F.split("rest", _TERM, -1), matches)
+    placed = shown.select("digest", "size", F.posexplode(words).alias("k", "w")).filter(F.col("w.1").isNotNull())
+    placed = placed.select("digest", "size", "k", F.lower("w.1").alias("term"), F.length("w.1").alias("long"), (F.length("w.0") + F.length("w.1")).alias("step"))
+    placed = placed.withColumn("end", F.sum("step").over(W.partitionBy("digest", "size").orderBy("k")).cast("int"))
+    return placed.join(given, ["digest", "size", "term"]).select("digest", "size", (F.col("end") - F.col("long")).alias("start"), "end", "term", "revealed")
 
 
 def find_disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,15 +151,14 @@ def find_disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    rows = kept(docs.select("id", "digest", base_spans(F.col("text")).alias("spans")), "base")
-    found = rows.filter(F.size("spans") > 0).groupBy("id", "digest").agg(F.first("spans").alias("spans"), F.count(F.lit(1)).alias("copies"))
+    spanned = docs.select("id", "digest", F.length("text").alias("size"), "text", base_spans(F.col("text")).alias("spans"))
+    rest = F.when(F.size("spans") > 0, without_spans(F.col("text"), F.col("spans")))
+    rows = kept(spanned.select("id", "digest", "size", "spans", rest.alias("rest")), "base")
+    found = rows.filter(F.size("spans") > 0).groupBy("digest", "size").agg(F.first("spans").alias("spans"), F.first("rest").alias("rest"), F.count(F.lit(1)).alias("copies"))
     found = kept(found, "found")
-    near = kept(near_terms(found), "near")
-    pairs = disclosing_pairs(docs, near, found)
-    given = near.join(pairs, ["entity", "term"]).groupBy("id", "digest", "start", "end", "term").agg(F.max("revealed").alias("revealed"))
-    terms = given.groupBy("id", "digest").agg(F.collect_list(F.struct("start", "end", "term", "revealed")).alias("terms"))
-    terms = terms.withColumnsRenamed({"id": "_id", "digest": "_digest"})
-    joined = rows.join(terms, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    given = kept(disclosing_terms(docs, found), "terms")
+    terms = term_spans(found, given).groupBy("digest", "size").agg(F.collect_list(F.struct("start", "end", "term", "revealed")).alias("terms"))
+    joined = rows.drop("rest").join(terms, ["digest", "size"], "left")
     base = F.transform("spans", lambda s: _span(s["start"], s["end"], s["kind"], s["value"], F.lit(None)))
     added = F.transform("terms", lambda t: _span(t["start"], t["end"], F.lit(KINDS.index("term")), t["term"], t["revealed"]))
     every = F.array_sort(F.concat(base, F.coalesce(added, F.array().cast("array<struct<start:int,end:int,kind:int,value:string,revealed:double>>"))), _by_start)

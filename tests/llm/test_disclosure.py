@@ -61,6 +61,18 @@ def test_terms_that_give_an_entity_away(spark):
     assert out[1] == "write to  at [email] today" and out[3] == "today is fine" and len(out) == len(docs)
 
 
+def test_a_unique_entity_and_a_term_far_from_it(spark):
+    far = "common words stand here " * 20
+    docs = [(1, f"{far}zorblax {far}a@b.com or 10.0.0.1 and 256.1.1.1 {far}"), (2, "zorblax is elsewhere"), (3, f"\U0001F600 single {far}")]
+    docs += [(10 + k, f"{far}{k}") for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = {r.id: [s.asDict() for s in r.spans if s["kind"] == 4] for r in find_disclosures(df).collect()}
+    share = math.log(len(docs) / 2) / math.log(len(docs))
+    assert [(s["start"], s["end"], s["value"], round(s["revealed"], 9)) for s in spans.pop(1)] == [(len(far), len(far) + 7, "zorblax", round(share, 9))]
+    assert not any(spans.values())  # neither a common word nor a text without an entity
+    assert "zorblax" not in sanitise(df).filter("doc_id = 1").first().sanitised
+
+
 def test_generalised_terms(spark, monkeypatch):
     monkeypatch.setattr(disclosure, "THRESHOLD", 0.5)
     docs = [(1, "zorblax at a@b.com"), (2, "zorblax with a@b.com"), (3, "zorblax alone")] + [(10 + k, f"plain {k}") for k in range(20)]
