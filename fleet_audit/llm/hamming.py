@@ -91,15 +91,3 @@ def hamming_links(prints: DataFrame, radius: int, segments: int | None = None, t
     on = F.expr(" and ".join(f"l.{c} = f.{c}" for c in [*names, "key"]))
     close = (F.col("a") != F.col("b")) & (distance(F.col("a"), F.col("b")) <= radius)
     return looked_up.alias("l").join(filed.alias("f"), on & close & wanted).select(*(F.col(f"l.{c}") for c in names), "a", "b")
-
-
-def hamming_pairs(probes: DataFrame, filed: DataFrame, radius: int, table: str) -> DataFrame:
-    """``a, b``: the ``node`` of every row of ``probes`` with that of every row of ``filed`` within ``radius`` of it.
-
-    Both have ``node, print`` and the column ``table``. All pairs are returned, so ``probes`` should be few.
-    """
-    plan = segment_plan(radius, _segments_for(filed))
-    left = probes.select(table, F.col("node").alias("a"), F.col("print").alias("p"), F.explode(_ball_keys(plan)).alias("key"))
-    right = filed.select(table, F.col("node").alias("b"), F.col("print").alias("q"), F.explode(_own_keys(plan)).alias("key"))
-    on = F.expr(f"l.{table} = r.{table} and l.key = r.key and l.a != r.b")
-    return left.alias("l").join(right.alias("r"), on & (distance(F.col("p"), F.col("q")) <= radius)).select("a", "b")

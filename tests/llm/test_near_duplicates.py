@@ -107,6 +107,32 @@ def test_verified_classes(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(got.values()))
 
 
+def block_edits():
+    """Texts of 200 and 600 words, each with one block appended, cut off or put in, at similarities from 0.8 to 0.95."""
+    rng, pairs = random.Random(7), []
+    for n in (200, 600):
+        for like in (0.805, 0.84, 0.87, 0.91, 0.95):
+            for kind in ("append", "cut", "insert"):
+                for _ in range(4):
+                    base = [f"w{rng.getrandbits(40)}" for _ in range(n)]
+                    # What is put in breaks four shingles and adds four.
+                    longer = int((n - 8) / like - n) if kind == "insert" else int((n - 4) * (1 / like - 1))
+                    block = [f"x{rng.getrandbits(40)}" for _ in range(longer)]
+                    at = rng.randrange(10, n - 10)
+                    near = {"append": base + block, "cut": base[: n - int((n - 4) * (1 - like))], "insert": base[:at] + block + base[at:]}[kind]
+                    pairs.append((" ".join(base), " ".join(near)))
+    return pairs
+
+
+def test_one_block_changed(spark):
+    pairs = block_edits()
+    rows = [(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    docs = row_ids(spark.createDataFrame(rows, "doc_id long, text string"), "test", "_row")
+    got = {r.doc_id: r.class_id for r in near_duplicate_classes(docs).collect()}
+    assert [i for i in range(len(pairs)) if got[2 * i] != got[2 * i + 1]] == []
+    assert len(set(got.values())) == len(pairs)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert drop_near_duplicates(empty).collect() == []
