@@ -155,5 +155,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     """``docs`` with one row of each class: that of the smallest id, and of its rows the one read first."""
     rows = row_ids(docs, "documents", "_row")
     classes = near_duplicate_classes(rows, words, similarity, id_col, text_col)
-    keep = classes.groupBy("class_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col), F.col("_row"))).alias("first"))
+    keep = classes.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col), F.col("_row"))).alias("first"))
     return rows.join(keep.select(F.col("first._row").alias("_row")), "_row", "left_semi").drop("_row")

@@ -133,6 +133,12 @@ def test_one_block_changed(spark):
     assert len(set(got.values())) == len(pairs)
 
 
+def test_unknown_and_repeated_ids_name_no_class(spark):
+    rows = [(None, "one text without any id"), (None, "a second and wholly different text"), (7, "words of the first"), (7, "other things the second says"), (7, "words of the first")]
+    left = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted({(i or 0, t) for i, t in rows})
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert drop_near_duplicates(empty).collect() == []
