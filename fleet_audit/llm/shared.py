@@ -55,3 +55,9 @@ def dropped(df: DataFrame) -> None:
 def row_ids(df: DataFrame, name: str, column: str) -> DataFrame:
     """``df`` with a number for each row, stored so that it stays the same when a task runs again."""
     return kept(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"{stem}{k or ''}" for k in range(len(taken) + 1)) if n.lower() not in taken)
