@@ -13,6 +13,7 @@ from fleet_audit.llm.op8_simhash import op8_simhash_near_dedup
 from fleet_audit.llm.op9_line_dedup import op9_content_defined_line_dedup
 from fleet_audit.llm.op10_url_filter import op10_redirect_url_filter, op10_sql
 from fleet_audit.llm.op11_importance import op11_importance_resampling, op11_sql
+from fleet_audit.llm.op12_prefix_trie import op12_prefix_trie, op12_sql
 
 QUERIES = {
     "op1_projected_kdtree_search": op1_projected_kdtree_search,
@@ -26,5 +27,8 @@ QUERIES = {
     "op9_content_defined_line_dedup": op9_content_defined_line_dedup,
     "op10_redirect_url_filter": op10_redirect_url_filter,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_prefix_trie": op12_prefix_trie,
+}
+ORACLES = {
+    "op2_arc_to_warc": op2_sql, "op10_redirect_url_filter": op10_sql, "op11_importance_resampling": op11_sql, "op12_prefix_trie": op12_sql,
 }
-ORACLES = {"op2_arc_to_warc": op2_sql, "op10_redirect_url_filter": op10_sql, "op11_importance_resampling": op11_sql}
