@@ -14,6 +14,7 @@ from fleet_audit.llm.op9_line_dedup import op9_content_defined_line_dedup
 from fleet_audit.llm.op10_url_filter import op10_redirect_url_filter, op10_sql
 from fleet_audit.llm.op11_importance import op11_importance_resampling, op11_sql
 from fleet_audit.llm.op12_prefix_trie import op12_prefix_trie, op12_sql
+from fleet_audit.llm.op13_html_extraction import op13_html_extraction
 
 QUERIES = {
     "op1_projected_kdtree_search": op1_projected_kdtree_search,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_redirect_url_filter": op10_redirect_url_filter,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_html_extraction": op13_html_extraction,
 }
 ORACLES = {
     "op2_arc_to_warc": op2_sql, "op10_redirect_url_filter": op10_sql, "op11_importance_resampling": op11_sql, "op12_prefix_trie": op12_sql,
