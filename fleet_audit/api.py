@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleet_audit.findings import all_findings
 from fleet_audit.operators import clusters, enrich, redaction, report, rules, scan_estimate, tables
 from fleet_audit.operators.audit import cross_checks
+from fleet_audit.operators.investigate import Investigation, analyze_with_details
 from fleet_audit.operators import search, telemetry, versions
 from fleet_audit.operators.normalize import normalize_values, rules_in_scope, scope_filter
 from fleet_audit.operators.scope import resolve_scope
@@ -109,10 +110,17 @@ class FleetAudit:
     def analyze_query(
         self, cluster: str, query_id: str, context: DataFrame | None = None
     ) -> tuple[DataFrame, DataFrame]:
-        """Findings, and the row that tells the state and which detectors ran."""
-        frames = {**self._tables(cluster, query_id), **self.references}
-        found = enrich.enrich(report.analyze_queries(frames, self._limits()), context, self.passages)
-        return report.rank_findings(found).drop("rank"), report.detector_coverage(frames)
+        """Findings, and the row that tells the state and which detectors ran.
+
+        The analysis goes in two stages: what fires on the query's document decides which tables are looked up.
+        """
+        seen = self.investigate_query(cluster, query_id)
+        found = enrich.enrich(seen.findings, context, self.passages)
+        return report.rank_findings(found).drop("rank"), seen.coverage
+
+    def investigate_query(self, cluster: str, query_id: str) -> Investigation:
+        """Both stages of the analysis with the details they looked up, and why."""
+        return analyze_with_details({**self._tables(cluster, query_id), **self.references}, self._limits())
 
     def get_table_stats(self, cluster: str, catalog: str, schema: str, table: str, measured: DataFrame | None = None) -> DataFrame:
         """Recorded statistics of a table; with its rows as ``measured``, also whether they are stale."""

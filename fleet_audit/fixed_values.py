@@ -30,6 +30,13 @@ DETECTORS = (
 # Fixed value: a stage is skewed when its slowest task exceeds this multiple of the median.
 SKEW_RATIO = 5.0
 
+# Our own choice, but for the tasks of skewed stages: what to look up after what fired, or after a predicate that cannot prune.
+FOLLOW_UPS = {
+    "tasks": ("skew",),
+    "column_stats": ("exploding_join", "bad_broadcast", "spilling", "skew"),
+    "table_files": ("small_files", "spilling", "ineffective_dynamic_filter", "wrapped_predicate", "no_predicate"),
+}
+
 # Defaults of our own where the definition leaves the number open; all are rows of the
 # ``thresholds`` table and can be changed per fleet.
 DEFAULT_THRESHOLDS = (

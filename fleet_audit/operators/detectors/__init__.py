@@ -23,6 +23,7 @@ from fleet_audit.operators.detectors import (
     small_files,
     spilling,
 )
+from fleet_audit.operators.references import REFERENCES
 from fleet_audit.operators.thresholds import Thresholds
 
 
@@ -31,11 +32,13 @@ class Detector:
     name: str
     inputs: tuple[str, ...]
     detect: Callable[[Mapping[str, DataFrame], DataFrame | Thresholds], DataFrame]
+    #: Reference tables of which a missing row is judged as well.
+    absent_counts: tuple[str, ...] = ()
 
     @property
-    def query_input(self) -> str:
-        """The table that must hold rows of a query for the detector to judge it."""
-        return self.inputs[0]
+    def references(self) -> tuple[str, ...]:
+        """Inputs that describe tables and not queries."""
+        return tuple(i for i in self.inputs if i in REFERENCES)
 
 
 def registry() -> dict[str, Detector]:
@@ -50,5 +53,5 @@ def registry() -> dict[str, Detector]:
         not_the_querys_fault,
         ineffective_dynamic_filter,
     )
-    found = {m.NAME: Detector(m.NAME, m.INPUTS, m.detect) for m in modules}
+    found = {m.NAME: Detector(m.NAME, m.INPUTS, m.detect, getattr(m, "ABSENT_COUNTS", ())) for m in modules}
     return {name: found[name] for name in fixed_values.DETECTORS}

@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleet_audit.findings import to_findings
+from fleet_audit.operators.references import table_keys
 from fleet_audit.operators.thresholds import Thresholds
 
 NAME = "missing_stats"
 INPUTS = ("scans", "column_stats")
+ABSENT_COUNTS = ("column_stats",)
 
 
 def tables_without_stats(column_stats: DataFrame) -> DataFrame:
     """One row per table that lacks a row count or the NDV of some column."""
     return (
-        column_stats.groupBy("table_id")
+        column_stats.groupBy(*table_keys(column_stats))
         .agg(
             F.count_if(F.col("ndv").isNull()).alias("missing_columns"),
             F.min(F.when(F.col("ndv").isNull(), F.col("column_name"))).alias("first_column"),
@@ -30,11 +32,12 @@ def tables_without_stats(column_stats: DataFrame) -> DataFrame:
 def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame | Thresholds) -> DataFrame:
     reads = tables["scans"].select("fleet", "cluster", "query_id", "table_id").distinct()
     stats = tables["column_stats"]
-    listed = stats.select("table_id").distinct()
+    keys = table_keys(stats)
+    listed = stats.select(*keys).distinct()
     # A table without any row of statistics misses all of them.
-    absent = reads.join(listed, "table_id", "left_anti").withColumns({
+    absent = reads.join(listed, keys, "left_anti").withColumns({
         "missing_columns": F.lit(0).cast("bigint"), "first_column": F.lit(None).cast("string"), "no_row_count": F.lit(True)})
-    fired = reads.join(tables_without_stats(stats), "table_id").unionByName(absent)
+    fired = reads.join(tables_without_stats(stats), keys).unionByName(absent)
     return to_findings(
         fired,
         fleet=F.col("fleet"), cluster=F.col("cluster"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleet_audit.findings import to_findings
 from fleet_audit.functions.text import plain_number
 from fleet_audit.operators.predicates import classify_predicate
+from fleet_audit.operators.references import table_keys
 from fleet_audit.operators.thresholds import Thresholds, with_thresholds
 
 NAME = "no_partition_pruning"
@@ -23,9 +24,10 @@ def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame | Thresholds)
         F.max(F.when(F.col("predicate_class") == "wrapped_predicate", 1)).alias("wrapped"),
         F.max(F.when(F.col("predicate_class") != "no_predicate", 1)).alias("predicated"),
     )
-    total = tables["table_files"].groupBy("table_id").agg(F.countDistinct("part").alias("total"))
+    keys = table_keys(tables["table_files"])
+    total = tables["table_files"].groupBy(*keys).agg(F.countDistinct("part").alias("total"))
     rated = with_thresholds(
-        scanned.join(total.where("total > 1"), "table_id").withColumn(
+        scanned.join(total.where("total > 1"), keys).withColumn(
             "ratio", F.col("scanned") / F.col("total")
         ),
         thresholds, NAME, "scanned_ratio",

@@ -12,6 +12,7 @@ from fleet_audit.findings import all_findings
 from fleet_audit.functions.nesting import ROWS_PER_PART, nest_rows
 from fleet_audit.operators.detectors import Detector, registry
 from fleet_audit.operators.detectors.not_the_querys_fault import NAME as QUEUED
+from fleet_audit.operators.references import REFERENCES, table_keys
 from fleet_audit.operators.thresholds import Thresholds
 
 _QUERY = ["cluster", "query_id"]
@@ -36,29 +37,40 @@ def analyze_queries(
 
 
 def detector_coverage(
-    tables: Mapping[str, DataFrame], detectors: Mapping[str, Detector] | None = None
+    tables: Mapping[str, DataFrame], detectors: Mapping[str, Detector] | None = None, reads: Mapping[str, DataFrame] | None = None
 ) -> DataFrame:
     """``cluster, query_id, query_state, detectors_run, detectors_skipped``.
 
-    A detector is skipped for a query when its input has no row of that query. Each
-    table is reduced to its queries before they meet in one aggregation.
+    A detector has run for a query when every input of it has a row of that query. A reference table has one
+    when it describes a table that the query scans; ``reads`` (``cluster, query_id, table_id`` per reference) narrows that to what was
+    looked up. Each table is reduced to its queries before they meet in one aggregation.
     """
     chosen, known = runnable(tables, detectors), detectors or registry()
-    inputs = sorted({d.query_input for d in chosen.values()})
-    present = reduce(DataFrame.unionByName, [
-        tables[name].select(*_QUERY, F.lit(name).alias("_input"),
-                            (F.col("state") if name == "query_info" else F.lit(None).cast("string")).alias("_state"))
-        for name in sorted({*inputs, "query_info"} & set(tables))
-    ])
-    flags = present.groupBy(*_QUERY).agg(
+    inputs = sorted({i for d in chosen.values() for i in d.inputs})
+    state = lambda name: F.col("state") if name == "query_info" else F.lit(None).cast("string")
+    rows = [
+        tables[name].select(*_QUERY, F.lit(name).alias("_input"), state(name).alias("_state"))
+        for name in sorted(({*inputs, "query_info"} & set(tables)) - set(REFERENCES))
+    ]
+    for name in sorted(set(inputs) & set(REFERENCES)):
+        asked = (reads or {}).get(name, tables["scans"])
+        keys = table_keys(tables[name])
+        found = asked.join(tables[name].select(*keys).distinct(), keys, "left_semi")
+        rows += [
+            frame.select(*_QUERY, F.lit(kind).alias("_input"), F.lit(None).cast("string").alias("_state"))
+            for kind, frame in ((name, found), (f"{name}_asked", asked))
+        ]
+    flags = reduce(DataFrame.unionByName, rows).groupBy(*_QUERY).agg(
         F.max("_state").alias("query_state"),
-        *[F.max(F.when(F.col("_input") == name, True)).alias(f"_has_{name}") for name in inputs],
+        *[F.coalesce(F.max(F.when(F.col("_input") == name, True)), F.lit(False)).alias(f"_has_{name}")
+          for name in [*inputs, *(f"{r}_asked" for r in inputs if r in REFERENCES)]],
     )
 
     def has(detector: Detector) -> Column:
         if detector.name not in chosen:
             return F.lit(False)
-        return F.coalesce(F.col(f"_has_{detector.query_input}"), F.lit(False))
+        needed = [f"_has_{i}_asked" if i in detector.absent_counts else f"_has_{i}" for i in detector.inputs]
+        return reduce(Column.__and__, map(F.col, needed))
 
     run = F.array_compact(F.array(*[F.when(has(d), F.lit(d.name)) for d in known.values()]))
     skipped = F.array_compact(F.array(*[F.when(~has(d), F.lit(d.name)) for d in known.values()]))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleet_audit.operators import report, scan_estimate, tables as profiles, telemetry
 from fleet_audit.operators.detectors import registry
 from fleet_audit.operators.detectors.exploding_join import join_fanout
+from fleet_audit.operators.investigate import analyze_with_details
 from fleet_audit.operators.predicates import classify_predicate
 from fleet_audit.operators.thresholds import with_thresholds
 from fleet_audit.plans import oracle, standins
@@ -46,6 +47,22 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brief(report.analyze_queries(standins.telemetry(spark, sf_dir), standins.thresholds(spark)))
 
 
+def two_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brief(analyze_with_details(standins.telemetry(spark, sf_dir), standins.thresholds(spark)).findings)
+
+
+def followed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was looked up for each query and why, and the detectors that could judge it."""
+    seen = analyze_with_details(standins.telemetry(spark, sf_dir), standins.thresholds(spark))
+    ran = seen.coverage.select("cluster", "query_id", F.array_join("detectors_run", ",").alias("detectors_run"))
+    return seen.followed.join(ran, ["cluster", "query_id"])
+
+
+def fetched_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks looked up by stage two."""
+    return analyze_with_details(standins.telemetry(spark, sf_dir), standins.thresholds(spark)).details["tasks"]
+
+
 def query_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = standins.telemetry(spark, sf_dir)
     findings = materialize(report.analyze_queries(frames, standins.thresholds(spark)))
@@ -201,6 +218,35 @@ def _reports_sql() -> str:
         from presence p left join per_query f on p.cluster = f.cluster and p.query_id = f.query_id""")
 
 
+# Both stages: what fired, the tables it asks for per query, and the second detectors over those only.
+_FIRST = [n for n in registry() if n not in ("missing_stats", "no_partition_pruning")]
+_SIGNALS = f"""
+    , fired as ({" union all ".join(f"({_D[name]})" for name in _FIRST)})
+    , signals as (select cluster, query_id, stage_id, table_id, rule_id as rule from fired
+        union all select distinct cluster, query_id, null, table_id, predicate_class from scans where predicate_class <> 'other')
+    , stat_scans as (select * from scans where (cluster, query_id) in
+        (select cluster, query_id from signals where rule in ('exploding_join', 'bad_broadcast', 'spilling', 'skew')))
+    , layout_scans as (select * from scans
+        where (cluster, query_id) in (select cluster, query_id from signals where rule in ('spilling', 'ineffective_dynamic_filter'))
+           or (cluster, query_id, table_id) in (select cluster, query_id, table_id from signals where rule in ('small_files', 'wrapped_predicate', 'no_predicate')))"""
+_SECOND = [_D["missing_stats"].replace("from scans", "from stat_scans"), _D["no_partition_pruning"].replace("from scans", "from layout_scans")]
+_BECAUSE = {"tasks": "('skew')", "column_stats": "('exploding_join', 'bad_broadcast', 'spilling', 'skew')",
+            "table_files": "('small_files', 'spilling', 'ineffective_dynamic_filter', 'wrapped_predicate', 'no_predicate')"}
+_READ_BY = {"tasks": "fired", "column_stats": "stat_scans", "table_files": "layout_scans"}
+_JUDGED = {**_HAS, "missing_stats": "stat_scans", "no_partition_pruning": "layout_scans"}
+
+
+def _followed_sql() -> str:
+    each = " union all ".join(
+        f"""select fleet, cluster, query_id, '{detail}' as detail, string_agg(distinct rule, ',' order by rule) as because
+            from (select concat('f', cast(query_id[2:] as bigint) % 5) as fleet, * from signals)
+            where rule in {rules} and (cluster, query_id) in (select cluster, query_id from {_READ_BY[detail]}) group by all"""
+        for detail, rules in _BECAUSE.items())
+    ran = "concat_ws(',', " + ", ".join(
+        f"case when (cluster, query_id) in (select cluster, query_id from {t}) then '{n}' end" for n, t in _JUDGED.items()) + ")"
+    return f"{_SIGNALS} select *, {ran} as detectors_run from ({each})"
+
+
 _EVENT_SKEW = _D["skew"].replace("from tasks", "from event_tasks")
 
 
@@ -241,6 +287,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_skew_of_hot_stages": skew_of_hot_stages,
     "all_findings": all_findings,
     "query_reports": query_reports,
+    "analyze_with_details": two_stages,
+    "followed_details": followed_details,
+    "fetched_tasks": fetched_tasks,
     "finding_counts": finding_counts,
     "rank_findings": ranked_findings,
     "with_thresholds": thresholds_attached,
@@ -262,6 +311,10 @@ ORACLES: dict[str, str] = {
     "detect_skew_of_hot_stages": oracle.with_ctes(_T, ["event_tasks"], _EVENT_SKEW),
     "all_findings": oracle.with_ctes(_T, _ALL_INPUTS, _UNION),
     "query_reports": _reports_sql(),
+    "analyze_with_details": oracle.with_ctes(_T, _ALL_INPUTS, f"{_SIGNALS} select * from fired union all " + " union all ".join(f"({sql})" for sql in _SECOND)),
+    "followed_details": oracle.with_ctes(_T, _ALL_INPUTS, _followed_sql()),
+    "fetched_tasks": oracle.with_ctes(_T, ["tasks"], f"""
+        select t.* from tasks t semi join ({_D['skew']}) f on t.cluster = f.cluster and t.query_id = f.query_id and t.stage_id = f.stage_id"""),
     "finding_counts": oracle.with_ctes(_T, _ALL_INPUTS, f"""
         select fleet, cluster, rule_id, count(*) as findings, grouping_id(fleet, cluster, rule_id) as level
         from ({_UNION}) group by rollup (fleet, cluster, rule_id)"""),

@@ -12,6 +12,9 @@ _STATS = {"table_id": "string", "column_name": "string", "ndv": "bigint", "nulls
 
 
 def _shaped(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The known columns, and the cluster of the table where the export names it."""
+    if "cluster" in df.columns:
+        columns = {"cluster": "string", **columns}
     return df.select(*[
         (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()
     ])
