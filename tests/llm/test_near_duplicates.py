@@ -5,10 +5,12 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
+from fleet_audit.llm import near_duplicates
 from fleet_audit.llm.hamming import ball_masks, hamming_links, segment_plan
+from fleet_audit.llm.near_duplicates import drop_near_duplicates, near_duplicate_classes
 from fleet_audit.llm.op8_simhash import op8_simhash_near_dedup
 from fleet_audit.llm.shared import row_ids
-from fleet_audit.llm.simhash import drop_near_duplicates, fingerprint, near_duplicate_classes
+from fleet_audit.llm.simhash import fingerprint
 from tests.llm.test_components import union_find
 
 MASK = (1 << 64) - 1
@@ -97,14 +99,16 @@ def test_verified_classes(spark):
     for i, t in rows:
         for j, u in rows:
             a, b = shingles(t), shingles(u)
-            if i < j and (len(a & b) >= 0.8 * len(a | b) > 0 or not (t or u)):
+            close = (slow_print(t, 4) ^ slow_print(u, 4)).bit_count() <= 4
+            if i < j and (close or len(a & b) >= 0.8 * len(a | b) > 0):
                 links.append((i, j))
     roots = union_find(links)
     docs = row_ids(spark.createDataFrame(rows, "doc_id long, text string"), "test", "_row")
     got = {r.doc_id: r.class_id for r in near_duplicate_classes(docs).collect()}
     assert got == {i: roots.get(i, i) for i, _ in rows}
-    left = drop_near_duplicates(spark.createDataFrame([(*r, "x") for r in rows] + [(0, rows[0][1], "x")], "doc_id long, text string, class_id string"))
-    assert sorted(r.doc_id for r in left.collect()) == sorted(set(got.values()))
+    left = drop_near_duplicates(spark.createDataFrame([(*r, "x", 5, 6) for r in rows] + [(0, rows[0][1], "x", 5, 6)], "doc_id long, text string, class_id string, _row int, `row` int"))
+    assert left.columns == ["doc_id", "text", "class_id", "_row", "row"]
+    assert sorted((r.doc_id, r["_row"], r["row"]) for r in left.collect()) == sorted((i, 5, 6) for i in set(got.values()))
 
 
 def block_edits():
@@ -142,3 +146,29 @@ def test_unknown_and_repeated_ids_name_no_class(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert drop_near_duplicates(empty).collect() == []
+
+
+def test_a_family_gives_few_pairs_and_keeps_its_links(spark, monkeypatch):
+    """Texts that share most of a passage but are not alike, some of them with a near copy."""
+    rng = random.Random(8)
+    passage = [f"w{rng.getrandbits(30)}" for _ in range(160)]
+    texts = []
+    for k in range(300):
+        own = list(passage)
+        for at in rng.sample(range(len(own)), 14):
+            own[at] = f"x{rng.getrandbits(30)}"
+        texts.append(own)
+    for k in range(0, 300, 6):
+        texts.append([*texts[k][:-1], f"y{k}"])
+    pairs = []
+    seen = near_duplicates.similar_pairs
+
+    def counted(found, *rest):
+        pairs.append(found.count())
+        return seen(found, *rest)
+
+    monkeypatch.setattr(near_duplicates, "similar_pairs", counted)
+    docs = row_ids(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), "test", "_row")
+    got = {r.doc_id: r.class_id for r in near_duplicate_classes(docs).collect()}
+    assert sum(got[300 + n] == got[6 * n] for n in range(50)) >= 49
+    assert sum(pairs) < 40 * len(texts) < len(texts) ** 2 / 8
