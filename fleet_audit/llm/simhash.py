@@ -1,11 +1,7 @@
-"""Near-duplicate classes of documents, by SimHash and multi-index hashing or by MinHash.
-
-``simhash_classes`` links SimHash fingerprints by their distance alone. ``near_duplicate_classes`` compares
-the word shingles of what MinHashes bring together.
+"""Near-duplicate classes of documents, by SimHash and multi-index hashing.
 
 A null text counts as empty. A text without words has the fingerprint zero and links like any
-other; in ``near_duplicate_classes`` such texts are duplicates only when they are equal. Repeated
-rows are kept, each with its class. A null id never names a class that holds another id. Empty
+other. Repeated rows are kept, each with its class. A null id never names a class that holds another id. Empty
 tables give no rows. Other columns are ignored.
 """
 
@@ -21,13 +17,11 @@ from pyspark.sql import functions as F
 
 from fleet_audit.llm.components import connected_components
 from fleet_audit.llm.hamming import hamming_links
-from fleet_audit.llm.shared import kept, row_ids
+from fleet_audit.llm.shared import kept
 
 SEED = 42
 #: Shingles whose bits are counted at a time, so that one very long text needs no more memory than this.
 _BLOCK = 1 << 17
-#: Shingles that meet all MinHash functions at a time.
-_HASHED = 1 << 12
 
 
 def shingle_bytes(text: str | None, words: int) -> Iterator[list[bytes]]:
@@ -55,21 +49,6 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(np.packbits(2 * ones > total).view(">i8")[0])
 
 
-def band_keys(text: str | None, words: int, bands: int, rows: int) -> list[int]:
-    """A hash of each of ``bands`` bands of ``rows`` MinHashes over the set of shingles; none without words.
-
-    Two texts agree in a MinHash as often as their shingle sets are similar, whatever kind of edit lies between them.
-    """
-    factors = np.random.default_rng(SEED).integers(1 << 63, size=(2, bands * rows, 1), dtype=np.uint64)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max)
-    for block in shingle_bytes(text, words):
-        hashes = np.array([xxhash.xxh3_64_intdigest(s) for s in block], np.uint64)
-        for k in range(0, len(hashes), _HASHED):
-            least = np.minimum(least, (hashes[k : k + _HASHED] * (2 * factors[0] + 1) + factors[1]).min(axis=1))
-    digests = [xxhash.xxh3_64_digest(band.tobytes(), t) for t, band in enumerate(least.reshape(bands, rows))]
-    return np.frombuffer(b"".join(digests), ">i8").tolist()
-
-
 def simhash_classes(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id>, print, component_id`` per row: its fingerprint and the smallest id within reach over links of ``radius`` bits or fewer."""
 
@@ -85,75 +64,3 @@ def simhash_classes(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     classes = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = joined.select("print", "root").join(classes, "root").select("print", "component_id")
     return rows.join(labels, "print").select(id_col, "print", "component_id")
-
-
-def near_duplicate_classes(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bands: int = 20, rows: int = 4,
-) -> DataFrame:
-    """``_row, <id>, root, class_id`` per row of ``docs``: its class, and the smallest id in it; a class is texts that are equal or share shingles enough.
-
-    ``root`` tells classes apart, while rows of several classes may have one id or none. Bands of MinHashes
-    bring candidates together: a pair of similarity 0.8 has none of 20 bands of four in common once in
-    38,000 times, and the more similar the rarer. The Jaccard similarity of the sets of ``words``-word
-    shingles decides. ``docs`` must have ``_row``, a number of its own for each row.
-    """
-    texts, members = _distinct_texts(docs, id_col, text_col)
-
-    @F.pandas_udf("array<long>")
-    def keys_of(column: pd.Series) -> pd.Series:
-        return pd.Series([band_keys(t, words, bands, rows) for t in column])
-
-    has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    signed = kept(texts.filter(has_words).select("node", F.explode(keys_of("text")).alias("key")), "signatures")
-    # Texts of one band meet at the smallest of them.
-    centres = signed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("key", "centre")
-    shared = kept(signed.join(centres, "key"), "bands")
-    pairs = kept(shared.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    similar = kept(similar_pairs(pairs, texts, words, similarity), "similar")
-    first = kept(connected_components(similar), "classes")
-    # Where texts of one band are not of the class of its centre by now, those are compared with all of the band that are of other classes.
-    named = shared.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.join(first.select(F.col("node").alias("centre"), F.col("root").alias("of_centre")), "centre", "left")
-    named = kept(named.select("key", "node", "root", (F.col("root") != F.coalesce("of_centre", "centre")).alias("apart")), "apart")
-    left = named.filter("apart").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = named.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("apart").alias("both"))
-    closer = left.join(right, "key").filter("ra != rb and (not both or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    closer = kept(closer.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    roots = connected_components(similar.unionByName(similar_pairs(closer, texts, words, similarity)))
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("id").alias("class_id"))
-    return placed.join(least, "root").select("_row", F.col("id").alias(id_col), "root", "class_id")
-
-
-def _distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``node, text`` of every different text, a node being the smallest row of it, and ``_row, id, node`` of every row."""
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    rows = kept(docs.select("_row", F.col(id_col).alias("id"), digest.alias("digest")), "digests")
-    nodes = kept(rows.groupBy("digest").agg(F.min("_row").alias("node")), "nodes")
-    members = rows.join(nodes, "digest").select("_row", "id", "node")
-    texts = docs.select(F.col("_row").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(nodes.select("node"), "node", "left_semi")
-    return texts, members
-
-
-def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (``a, b``) whose texts have a Jaccard similarity of ``similarity`` or more over sets of shingles."""
-
-    @F.pandas_udf("array<long>")
-    def shingle_set(column: pd.Series) -> pd.Series:
-        return pd.Series([
-            np.unique(np.array([xxhash.xxh3_64_intdigest(s) for block in shingle_bytes(t, words) for s in block], np.uint64)).view(np.int64) for t in column
-        ])
-
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = kept(texts.join(named, "node", "left_semi").select("node", shingle_set("text").alias("s")), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id, and of its rows the one read first."""
-    rows = row_ids(docs, "documents", "_row")
-    classes = near_duplicate_classes(rows, words, similarity, id_col, text_col)
-    keep = classes.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col), F.col("_row"))).alias("first"))
-    return rows.join(keep.select(F.col("first._row").alias("_row")), "_row", "left_semi").drop("_row")
