@@ -33,8 +33,11 @@ _BLOCK_CHARS = 1 << 20
 
 def fit_extraction(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS, layouts: int = LAYOUTS) -> DomModel:
     """A model trained on at most ``sample_pages`` pages of the table, in the layouts they have and in others."""
-    sample = pages.filter(F.length(html_col) > 0).select(F.xxhash64(html_col, F.lit("sample")).alias("h"), F.substring(html_col, 1, sample_chars).alias("html"))
-    found = sample.distinct().orderBy("h", "html").limit(sample_pages).collect()
+    h = F.xxhash64(html_col, F.lit("sample"))
+    filled = pages.filter(F.length(html_col) > 0)
+    drawn = [r["h"] for r in filled.select(h.alias("h")).distinct().orderBy("h").limit(sample_pages).collect()]
+    sample = filled.filter(h.isin(drawn)).groupBy(h.alias("h")).agg(F.min(F.substring(html_col, 1, sample_chars)).alias("html"))
+    found = sorted(sample.collect(), key=lambda r: r["h"])
     real = parse([r["html"] for r in found])
     known, texts = landmark_pages(real)
     kept_pages = [found[k]["html"] for k in known]
