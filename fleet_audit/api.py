@@ -18,7 +18,7 @@ from fleet_audit.operators.scope import resolve_scope
 from fleet_audit.operators.thresholds import default_thresholds
 from fleet_audit.sources.catalog import default_scope_map
 from fleet_audit.sources.parsers import parse_all
-from fleet_audit.streaming.ingest import flat_tables
+from fleet_audit.sources.queries import flat_tables
 
 
 @dataclass
@@ -102,7 +102,7 @@ class FleetAudit:
 
     def _tables(self, cluster: str, query_id: str) -> dict[str, DataFrame]:
         saved = telemetry.query_lookup(self.snapshots, cluster, query_id)
-        return flat_tables(telemetry.latest_snapshot(saved))
+        return flat_tables(saved)
 
     def get_query_info(self, cluster: str, query_id: str) -> DataFrame:
         return telemetry.query_report(self._tables(cluster, query_id))

@@ -75,6 +75,24 @@ def normalized(entries: DataFrame, jvm: Column, raw: str = "raw") -> DataFrame:
     )
 
 
+def _amount(text: Column, factors: dict[str, float]) -> Column:
+    """A number with a unit in the smallest one; a number without is taken as it stands, other text is NULL."""
+    unit = F.regexp_extract(text, _NUMBER, 2)
+    known = F.create_map(*[F.lit(x) for unit_name, factor in factors.items() for x in (unit_name, float(factor))])
+    factor = F.when(unit == "", 1.0).otherwise(F.try_element_at(known, unit))
+    return F.regexp_extract(text, _NUMBER, 1).try_cast("double") * factor
+
+
+def duration_ms(text: Column) -> Column:
+    """Milliseconds of a duration such as ``1.20m``, ``15.00ms`` or ``3ns``; null where it is none."""
+    return _amount(text, _DURATIONS_MS)
+
+
+def data_bytes(text: Column) -> Column:
+    """Bytes of an amount of data such as ``1.5GB`` or ``10kB``, in binary multiples; null where it is none."""
+    return _amount(F.upper(text), _SIZES)
+
+
 def plain_number(value: Column) -> Column:
     """A number with at most two decimals and no trailing zeros."""
     hundredths = F.floor(value * 100 + 0.5).cast("bigint")

@@ -28,6 +28,19 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def latest_documents(snapshots: DataFrame) -> DataFrame:
+    """:func:`latest_snapshot` of a store with long documents: they are fetched after the choice is made.
+
+    Rows are ranked by their keys and their place in the store's files, so no document is exchanged, and copies
+    of one capture are one row. The chosen places are broadcast to where the documents lie when they are few. ``snapshots``
+    tells them (:func:`fleet_audit.sources.stores.read_snapshots` with ``placed``).
+    """
+    place = ["_file", "_row"]
+    keys = [c for c in (*_QUERY, "captured_at", "snapshot_id") if c in snapshots.columns]
+    chosen = latest_snapshot(snapshots.select(*keys, *place)).select(*place)
+    return snapshots.join(broadcast_if_small(chosen), place, "left_semi").drop(*place)
+
+
 def query_report(
     tables: Mapping[str, DataFrame], rows_per_part: int = ROWS_PER_PART
 ) -> DataFrame:

@@ -224,7 +224,7 @@ def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(
+    return table(spark, sf_dir, "lineitem").select(
         *_query_keys("l_orderkey"),
         _text("s", C("l_linenumber") % 2).alias("stage_id"),
         _text("t", C("l_linenumber")).alias("task_id"),
@@ -270,7 +270,7 @@ def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dynamic_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderpriority <> '5-LOW'").select(
+    return table(spark, sf_dir, "orders").select(
         *_query_keys("o_orderkey"), _text("df", C("o_custkey") % 3).alias("filter_id"),
         F.floor(C("o_totalprice")).alias("input_rows"),
         F.floor(C("o_totalprice") * (C("o_custkey") % 21) / 20).alias("output_rows"),
@@ -315,8 +315,32 @@ def documents_of_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         C("filter_id").alias("id"), "input_rows", "output_rows")).alias("dynamic_filters"))
     body = F.to_json(F.struct("state", "elapsed_ms", "queued_ms", "peak_memory", "stages", "scans", "dynamic_filters"))
     return (
-        query_info(spark, sf_dir).join(nested, ["fleet", "cluster", "query_id"]).join(filters, "query_id", "left")
+        query_info(spark, sf_dir).join(nested, ["fleet", "cluster", "query_id"], "left").join(filters, "query_id", "left")
         .select(
             "fleet", "cluster", "query_id", F.lit("2024-02-01 00:00:00").cast("timestamp").alias("captured_at"),
             F.lit(1).cast("long").alias("snapshot_id"), body.alias("document"))
     )
+
+
+def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document per query as coordinators write them: stages nested below the output stage, amounts with units.
+
+    A stage per line item stands below one of two stages, and these below the output stage.
+    """
+    order, n, k = C("l_orderkey"), C("l_linenumber"), C("o_orderkey")
+    unit = F.when(n % 4 == 0, "ms").when(n % 4 == 1, "s").when(n % 4 == 2, "m").otherwise("h")
+    took = F.concat(F.floor("l_quantity").cast("string"), F.lit("."), F.lpad(n.cast("string"), 2, "0"), unit)
+    leaf = F.struct(
+        _text("l", n).alias("stageId"), F.struct(took.alias("totalScheduledTime"), F.floor("l_quantity").alias("processedInputPositions")).alias("stageStats"),
+        F.array(F.struct(F.struct(_text("t", n).alias("taskId")).alias("taskStatus"), F.struct(took.alias("elapsedTime")).alias("stats"))).alias("tasks"))
+    middle = table(spark, sf_dir, "lineitem").groupBy(order, (n % 2).alias("p")).agg(F.collect_list(leaf).alias("subStages"), F.sum(F.floor("l_quantity")).alias("rows"))
+    middle = middle.select(order, F.struct(_text("m", C("p")).alias("stageId"), F.struct(C("rows").alias("processedInputPositions")).alias("stageStats"), "subStages").alias("stage"))
+    below = middle.groupBy(order).agg(F.collect_list("stage").alias("subStages"))
+    price = F.floor("o_totalprice").cast("string")
+    stats = F.struct(
+        F.concat(price, F.lit("."), F.lpad((k % 100).cast("string"), 2, "0"), F.lit("m")).alias("elapsedTime"),
+        F.concat((k % 1000).cast("string"), F.lit(".00ms")).alias("queuedTime"),
+        F.concat(price, F.lit("."), F.lpad((k % 4 * 25).cast("string"), 2, "0"), F.lit("kB")).alias("peakUserMemoryReservation"))
+    root = F.struct(F.lit("r").alias("stageId"), F.struct(F.lit("1.50s").alias("totalScheduledTime"), k.alias("processedInputPositions")).alias("stageStats"), "subStages")
+    body = F.to_json(F.struct(F.lit("FINISHED").alias("state"), stats.alias("queryStats"), root.alias("outputStage")))
+    return table(spark, sf_dir, "orders").join(below, k == order, "left").select(*_query_keys("o_orderkey"), body.alias("document"))

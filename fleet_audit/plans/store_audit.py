@@ -56,10 +56,6 @@ def document_references(spark, sf_dir):
         "p_partkey", parts["source"].alias("source"), parts["page"].cast("bigint").alias("page"))
 
 
-def _documents(spark, sf_dir):
-    return stores.materialize(standins.documents_of_queries(spark, sf_dir))
-
-
 def query_documents(spark, sf_dir):
     """Documents written as text files and read back; every seventh one is cut off and so is bad."""
     path = stores.shared_folder(spark)
@@ -75,11 +71,40 @@ def query_documents(spark, sf_dir):
 
 def _flat(name):
     def run(spark, sf_dir):
-        return queries.flatten_query(queries.parse_snapshots(_documents(spark, sf_dir)), name)
+        parsed = queries.parse_snapshots(standins.documents_of_queries(spark, sf_dir)).select(*_KEYS, "body")
+        return queries.flatten_query(stores.materialize(parsed), name)
 
     return run
 
 
+def nested_stages(spark, sf_dir):
+    """Stages three levels deep, with durations as texts of several units."""
+    parsed = queries.parse_snapshots(standins.nested_documents(spark, sf_dir)).select(*_KEYS, "body")
+    placed = queries.flatten_query(stores.materialize(parsed), "stages", placed=True)
+    places = F.size(F.split("stage_path", r"\.")).cast("bigint")
+    return placed.select(
+        *_KEYS, C("depth").cast("bigint").alias("depth"), places.alias("places"), "parent_stage_id", "stage_id", F.round("wall_ms", 6).alias("wall_ms"), "input_rows")
+
+
+def nested_query_info(spark, sf_dir):
+    """Durations and amounts of data of whole queries, as texts with their units."""
+    tables = queries.flat_tables(standins.nested_documents(spark, sf_dir))
+    totals = tables["tasks"].groupBy("cluster", "query_id").agg(F.count(F.lit(1)).alias("tasks"), F.round(F.sum("wall_ms"), 3).alias("task_ms"))
+    return tables["query_info"].join(totals, ["cluster", "query_id"], "left")
+
+
+def analyzed_store(spark, sf_dir):
+    """Documents saved twice, read back as the README does: the last capture counts, and fleets have thresholds of their own."""
+    path, docs = stores.shared_folder(spark), standins.documents_of_queries(spark, sf_dir)
+    older = docs.withColumns({
+        "captured_at": C("captured_at") - F.expr("interval 1 hour"), "snapshot_id": F.lit(0).cast("long"),
+        "document": F.replace("document", F.lit('"spilled_bytes":0'), F.lit('"spilled_bytes":7'))})
+    stores.write_snapshots(docs.unionByName(older), path)
+    tables = queries.flat_tables(stores.read_snapshots(spark, path))
+    references = {"table_files": standins.table_files(spark, sf_dir), "column_stats": standins.column_stats(spark, sf_dir)}
+    return brief(report.analyze_queries({**tables, **references}, standins.thresholds(spark)))
+
+
 def runtime_fill(spark, sf_dir):
     """The saved documents lack the state of some queries and the memory of others."""
     root = stores.shared_folder(spark)
@@ -133,6 +158,18 @@ def snapshot_store(spark, sf_dir):
         "cluster", F.date_format("day", "yyyy-MM-dd").alias("day"), "query_id", "snapshot_id", "document")
 
 
+def compacted_store(spark, sf_dir):
+    """The store after two rounds of appending and compacting, with files that came after the last one."""
+    path, captures = stores.shared_folder(spark), standins.event_snapshots(spark, sf_dir)
+    part = F.pmod(C("snapshot_id"), F.lit(3))
+    for k in range(3):
+        stores.write_snapshots(captures.where(part == k).repartition(4), path)
+        if k < 2:
+            stores.compact_snapshots(spark, path, everything=k == 1)
+    return stores.read_snapshots(spark, path).select(
+        "cluster", F.date_format("day", "yyyy-MM-dd").alias("day"), "query_id", "snapshot_id", "document")
+
+
 def findings_store(spark, sf_dir):
     path = stores.shared_folder(spark)
     found = report.analyze_queries({"query_info": standins.query_info(spark, sf_dir)}, standins.thresholds(spark))
@@ -147,22 +184,25 @@ def ingested_stream(spark, sf_dir):
     snapshots.repartitionByRange(5, F.desc("snapshot_id")).write.json(f"{root}/landing")
     stream = ingest.snapshot_stream(spark, f"{root}/landing", files_per_batch=1)
     ingest.ingest_snapshots_stream(stream, f"{root}/store", f"{root}/checkpoint", writers=1).awaitTermination()
-    saved = stores.read_snapshots(spark, f"{root}/store").select(
-        "cluster", "query_id", "captured_at", "snapshot_id", "document")
-    last = telemetry.latest_snapshot(saved).select("cluster", "query_id", "snapshot_id", "document")
+    saved = stores.read_snapshots(spark, f"{root}/store", placed=True).drop("day")
+    last = telemetry.latest_documents(saved).select("cluster", "query_id", "snapshot_id", "document")
     counts = saved.groupBy("cluster", "query_id").agg(F.count(F.lit(1)).alias("captures"))
     return last.join(counts, ["cluster", "query_id"])
 
 
 def analyzed_stream(spark, sf_dir):
-    """Detectors per micro-batch over the documents of all queries."""
-    root = stores.shared_folder(spark)
-    standins.documents_of_queries(spark, sf_dir).repartition(4, "query_id").write.json(f"{root}/landing")
-    stream = ingest.snapshot_stream(spark, f"{root}/landing", schema="fleet string, " + schemas.SNAPSHOT_RECORD, files_per_batch=2)
+    """Detectors per micro-batch over the documents of all queries, each captured twice and the newer capture first."""
+    root, docs = stores.shared_folder(spark), standins.documents_of_queries(spark, sf_dir)
+    older = docs.withColumns({
+        "captured_at": C("captured_at") - F.expr("interval 1 hour"), "snapshot_id": F.lit(0).cast("long"),
+        "document": F.replace("document", F.lit('"spilled_bytes":0'), F.lit('"spilled_bytes":7'))})
+    for name, captures in (("new", docs), ("old", older)):
+        captures.repartition(2, "query_id").write.json(f"{root}/landing/{name}")
+    stream = ingest.snapshot_stream(spark, f"{root}/landing/*", files_per_batch=2)
     references = {"table_files": standins.table_files(spark, sf_dir), "column_stats": standins.column_stats(spark, sf_dir)}
     ingest.analyze_stream(
         stream, f"{root}/found", f"{root}/checkpoint", standins.thresholds(spark), references).awaitTermination()
-    return brief(spark.read.schema(schemas.FINDINGS).parquet(f"{root}/found"))
+    return brief(ingest.current_findings(spark, f"{root}/found"))
 
 
 def retention_risk(spark, sf_dir):
@@ -186,8 +226,6 @@ def overridden_thresholds(spark, sf_dir):
 
 _T = oracle.TELEMETRY
 _DOC_KEYS = "fleet, cluster, query_id"
-# Only queries with line items have a document.
-_HAS_ITEMS = "query_id in (select query_id from operators)"
 
 QUERIES = {
     "read_config_backup": config_backup,
@@ -195,11 +233,15 @@ QUERIES = {
     "doc_ref": document_references,
     "read_query_snapshots": query_documents,
     **{f"flatten_query_{name}": _flat(name) for name in queries.ARRAYS},
+    "flatten_nested_stages": nested_stages,
+    "flatten_nested_query_info": nested_query_info,
+    "analyze_store": analyzed_store,
     "fill_from_runtime": runtime_fill,
     "read_table_metadata": table_metadata,
     "read_context": context_rows,
     "read_passages": passages,
     "write_snapshots": snapshot_store,
+    "compact_snapshots": compacted_store,
     "write_findings": findings_store,
     "ingest_snapshots_stream": ingested_stream,
     "analyze_stream": analyzed_stream,
@@ -234,8 +276,8 @@ ORACLES = {
     "doc_ref": """select p_partkey, p_name as source, case when p_partkey % 2 = 0 then cast(p_size as bigint) end as page from part""",
     "read_query_snapshots": oracle.with_ctes(_T, ["query_info", "operators"], f"""
         select cluster, query_id, case when cast(query_id[2:] as bigint) % 7 <> 0 then state end as state,
-               cast(query_id[2:] as bigint) % 7 <> 0 as parsed from query_info where {_HAS_ITEMS}"""),
-    "flatten_query_query_info": oracle.with_ctes(_T, ["query_info", "operators"], f"select * from query_info where {_HAS_ITEMS}"),
+               cast(query_id[2:] as bigint) % 7 <> 0 as parsed from query_info"""),
+    "flatten_query_query_info": oracle.with_ctes(_T, ["query_info", "operators"], f"select * from query_info"),
     "flatten_query_stages": oracle.with_ctes(_T, ["operators"], f"""
         select {_DOC_KEYS}, stage_id, cast(null as double) as wall_ms, cast(sum(input_rows) as bigint) as input_rows,
                cast(sum(output_rows) as bigint) as output_rows from operators group by all"""),
@@ -251,7 +293,25 @@ ORACLES = {
                  when l_linestatus = 'O' then 'ds = date ''1997-01-01''' end as predicate from lineitem""",
     "flatten_query_scan_files": oracle.with_ctes(_T, ["scan_files"], "select * from scan_files"),
     "flatten_query_dynamic_filters": oracle.with_ctes(
-        _T, ["dynamic_filters", "operators"], f"select * from dynamic_filters where {_HAS_ITEMS}"),
+        _T, ["dynamic_filters"], "select * from dynamic_filters"),
+    "flatten_nested_stages": f"""
+        with item as (select {oracle.keys('l_orderkey')}, l_linenumber as n, floor(l_quantity) as q from lineitem)
+        select fleet, cluster, query_id, cast(3 as bigint) as depth, cast(3 as bigint) as places, concat('m', n % 2) as parent_stage_id,
+            concat('l', n) as stage_id, round((q + n / 100) * case n % 4 when 0 then 1 when 1 then 1000 when 2 then 60000 else 3600000 end, 6) as wall_ms,
+            cast(q as bigint) as input_rows from item
+        union all select fleet, cluster, query_id, 2, 2, 'r', concat('m', n % 2), null, cast(sum(q) as bigint) from item group by fleet, cluster, query_id, n % 2
+        union all select {oracle.keys('o_orderkey')}, 1, 1, null, 'r', 1500, o_orderkey from orders""",
+    "flatten_nested_query_info": f"""
+        with item as (select l_orderkey as k, count(*) as tasks, round(sum((floor(l_quantity) + l_linenumber / 100)
+            * case l_linenumber % 4 when 0 then 1 when 1 then 1000 when 2 then 60000 else 3600000 end), 3) as task_ms from lineitem group by all)
+        select {oracle.keys('o_orderkey')}, 'FINISHED' as state, cast(floor(o_totalprice) * 60000 + o_orderkey % 100 * 600 as bigint) as elapsed_ms,
+            cast(o_orderkey % 1000 as bigint) as queued_ms, cast(floor(o_totalprice) * 1024 + o_orderkey % 4 * 256 as bigint) as peak_memory, tasks, task_ms
+        from orders left join item on k = o_orderkey""",
+    "analyze_store": oracle.with_ctes(
+        {**_T,
+         "all_tasks": _T["tasks"].replace("concat('t', l_linenumber)", "concat('op', l_linenumber)")},
+        ["operators", "query_info", "dynamic_filters", "all_tasks", "scans", "scan_files", "table_files", "column_stats"],
+        " union all ".join("(" + sql.replace("from tasks", "from all_tasks") + ")" for sql in oracle.DETECTED.values())),
     "fill_from_runtime": oracle.with_ctes(_T, ["query_info"], "select * from query_info"),
     "read_table_metadata": oracle.with_ctes(_T, ["table_files", "column_stats"], """
         select f.table_id, cast(part as varchar) as part, format, count(*) as files, count(*) filter (format = 'PARQUET') as paths,
@@ -272,19 +332,17 @@ ORACLES = {
         cast(null as varchar) as engine_version from documents""",
     "write_snapshots": """select concat('c', user_id % 25) as cluster, strftime(ts, '%Y-%m-%d') as day,
         concat('q', user_id) as query_id, event_id as snapshot_id, props as document from events""",
+    "compact_snapshots": """select concat('c', user_id % 25) as cluster, strftime(ts, '%Y-%m-%d') as day,
+        concat('q', user_id) as query_id, event_id as snapshot_id, props as document from events""",
     "write_findings": oracle.with_ctes(_T, ["query_info"], oracle.DETECTED["not_the_querys_fault"]),
     "ingest_snapshots_stream": """
         select concat('c', user_id % 25) as cluster, concat('q', user_id) as query_id, event_id as snapshot_id,
                props as document, count(*) over (partition by user_id) as captures
         from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""",
     "analyze_stream": oracle.with_ctes(
-        {**_T,
-         "info": f"select * from ({_T['query_info']}) where query_id in (select concat('q', l_orderkey) from lineitem)",
-         "filters": f"select * from ({_T['dynamic_filters']}) where query_id in (select concat('q', l_orderkey) from lineitem)",
-         "all_tasks": _T["tasks"].replace("where l_linestatus = 'F'", "").replace("concat('t', l_linenumber)", "concat('op', l_linenumber)")},
-        ["operators", "info", "filters", "all_tasks", "scans", "scan_files", "table_files", "column_stats"],
-        " union all ".join("(" + sql.replace("from query_info", "from info").replace("from tasks", "from all_tasks")
-                           .replace("from dynamic_filters", "from filters") + ")" for sql in oracle.DETECTED.values())),
+        {**_T, "all_tasks": _T["tasks"].replace("concat('t', l_linenumber)", "concat('op', l_linenumber)")},
+        ["operators", "query_info", "dynamic_filters", "all_tasks", "scans", "scan_files", "table_files", "column_stats"],
+        " union all ".join("(" + sql.replace("from tasks", "from all_tasks") + ")" for sql in oracle.DETECTED.values())),
     "retention_risk": """
         select concat('q', o_custkey) as query_id, o_orderkey, case o_orderstatus when 'F' then 'FINISHED' else 'FAILED' end as state
         from orders where o_orderstatus <> 'O' and o_custkey not in (select user_id from events)

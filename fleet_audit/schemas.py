@@ -53,7 +53,7 @@ NOTES = "kind string, cluster string, property string, text string, severity str
 
 #: A query document as saved on completion. ``document`` is the JSON text.
 SNAPSHOT_RECORD = (
-    "cluster string, query_id string, captured_at timestamp, snapshot_id long, document string"
+    "fleet string, cluster string, query_id string, captured_at timestamp, snapshot_id long, document string"
 )
 
 SEVERITIES = ("high", "medium", "low")

@@ -3,65 +3,79 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleet_audit.functions.text import data_bytes, duration_ms
+from fleet_audit.operators.telemetry import latest_snapshot
+from fleet_audit.sources.stores import materialize
+
 _KEYS = ("fleet", "cluster", "query_id")
 
-#: Arrays to walk through to reach the rows of a table, outermost first.
+#: All stages of a document, however deep they are nested; see :func:`stage_rows`.
+STAGES = "stages"
+_TOP_STAGES, _ROOT_STAGES, _SUB_STAGES = ("$.stages", "$.stages.stages"), ("$.outputStage", "$.output_stage"), ("$.subStages", "$.sub_stages")
+
+#: Arrays to walk through to reach the rows of a table, outermost first; each with the paths it may have.
 ARRAYS = {
     "query_info": (),
-    "stages": ("$.stages",),
-    "tasks": ("$.stages", "$.tasks"),
-    "operators": ("$.stages", "$.operators"),
-    "scans": ("$.scans",),
-    "scan_files": ("$.scans", "$.files"),
-    "dynamic_filters": ("$.dynamic_filters",),
+    "stages": (STAGES,),
+    "tasks": (STAGES, ("$.tasks",)),
+    "operators": (STAGES, ("$.operators", "$.stageStats.operatorSummaries")),
+    "scans": (("$.scans",),),
+    "scan_files": (("$.scans",), ("$.files",)),
+    "dynamic_filters": (("$.dynamic_filters", "$.queryStats.dynamicFiltersStats.dynamicFilterDomainStats"),),
 }
 
-#: The only place that knows the shape of a document: table, field, level, path, type.
-#: Level 0 is the document, 1 an element of the outer array, 2 of the inner one.
+#: The only place that knows the shape of a document: table, field, level, paths, kind. Level 0 is the document, 1 an
+#: element of the outer array, 2 of the inner one; the first path that has a value counts. A duration
+#: (``ms``, ``fine_ms``) or an amount of data (``bytes``) may be a number or a text with its unit.
 PATH_MAP = (
-    ("query_info", "state", 0, "$.state", "string"),
-    ("query_info", "elapsed_ms", 0, "$.elapsed_ms", "long"),
-    ("query_info", "queued_ms", 0, "$.queued_ms", "long"),
-    ("query_info", "peak_memory", 0, "$.peak_memory", "long"),
-    ("stages", "stage_id", 1, "$.stage_id", "string"),
-    ("stages", "wall_ms", 1, "$.wall_ms", "double"),
-    ("stages", "input_rows", 1, "$.input_rows", "long"),
-    ("stages", "output_rows", 1, "$.output_rows", "long"),
-    ("tasks", "stage_id", 1, "$.stage_id", "string"),
-    ("tasks", "task_id", 2, "$.task_id", "string"),
-    ("tasks", "wall_ms", 2, "$.wall_ms", "double"),
-    ("operators", "stage_id", 1, "$.stage_id", "string"),
-    ("operators", "operator_id", 2, "$.operator_id", "string"),
-    ("operators", "operator", 2, "$.operator", "string"),
-    ("operators", "input_rows", 2, "$.input_rows", "long"),
-    ("operators", "output_rows", 2, "$.output_rows", "long"),
-    ("operators", "build_bytes", 2, "$.build_bytes", "long"),
-    ("operators", "spilled_bytes", 2, "$.spilled_bytes", "long"),
-    ("scans", "table_id", 1, "$.table", "string"),
-    ("scans", "part", 1, "$.partition", "string"),
-    ("scans", "partition_column", 1, "$.partition_column", "string"),
-    ("scans", "predicate", 1, "$.predicate", "string"),
-    ("scan_files", "table_id", 1, "$.table", "string"),
-    ("scan_files", "file_id", 2, "$.path", "string"),
-    ("scan_files", "bytes", 2, "$.bytes", "long"),
-    ("dynamic_filters", "filter_id", 1, "$.id", "string"),
-    ("dynamic_filters", "input_rows", 1, "$.input_rows", "long"),
-    ("dynamic_filters", "output_rows", 1, "$.output_rows", "long"),
+    ("query_info", "state", 0, ("$.state",), "string"),
+    ("query_info", "elapsed_ms", 0, ("$.elapsed_ms", "$.queryStats.elapsedTime"), "ms"),
+    ("query_info", "queued_ms", 0, ("$.queued_ms", "$.queryStats.queuedTime"), "ms"),
+    ("query_info", "peak_memory", 0, ("$.peak_memory", "$.queryStats.peakUserMemoryReservation"), "bytes"),
+    ("stages", "stage_id", 1, ("$.stage_id", "$.stageId"), "string"),
+    ("stages", "wall_ms", 1, ("$.wall_ms", "$.stageStats.totalScheduledTime"), "fine_ms"),
+    ("stages", "input_rows", 1, ("$.input_rows", "$.stageStats.processedInputPositions"), "long"),
+    ("stages", "output_rows", 1, ("$.output_rows", "$.stageStats.outputPositions"), "long"),
+    ("tasks", "stage_id", 1, ("$.stage_id", "$.stageId"), "string"),
+    ("tasks", "task_id", 2, ("$.task_id", "$.taskStatus.taskId"), "string"),
+    ("tasks", "wall_ms", 2, ("$.wall_ms", "$.stats.elapsedTime"), "fine_ms"),
+    ("operators", "stage_id", 1, ("$.stage_id", "$.stageId"), "string"),
+    ("operators", "operator_id", 2, ("$.operator_id", "$.operatorId"), "string"),
+    ("operators", "operator", 2, ("$.operator", "$.operatorType"), "string"),
+    ("operators", "input_rows", 2, ("$.input_rows", "$.inputPositions"), "long"),
+    ("operators", "output_rows", 2, ("$.output_rows", "$.outputPositions"), "long"),
+    ("operators", "build_bytes", 2, ("$.build_bytes",), "bytes"),
+    ("operators", "spilled_bytes", 2, ("$.spilled_bytes", "$.spilledDataSize"), "bytes"),
+    ("scans", "table_id", 1, ("$.table",), "string"),
+    ("scans", "part", 1, ("$.partition",), "string"),
+    ("scans", "partition_column", 1, ("$.partition_column",), "string"),
+    ("scans", "predicate", 1, ("$.predicate",), "string"),
+    ("scan_files", "table_id", 1, ("$.table",), "string"),
+    ("scan_files", "file_id", 2, ("$.path",), "string"),
+    ("scan_files", "bytes", 2, ("$.bytes",), "bytes"),
+    ("dynamic_filters", "filter_id", 1, ("$.id", "$.dynamicFilterId"), "string"),
+    ("dynamic_filters", "input_rows", 1, ("$.input_rows",), "long"),
+    ("dynamic_filters", "output_rows", 1, ("$.output_rows",), "long"),
 )
 
+# Kinds with a unit: the type of the result and how a text is read.
+_WITH_UNIT = {"ms": ("long", duration_ms), "fine_ms": ("double", duration_ms), "bytes": ("long", data_bytes)}
+
 
 def read_query_documents(spark: SparkSession, path: str, cluster: str | None = None) -> DataFrame:
-    """JSON files, one query document each: ``cluster, query_id, captured_at, document``.
+    """JSON files, one query document each: ``fleet, cluster, query_id, captured_at, snapshot_id, document``.
 
-    The file name without extension is the query id; the document may name its cluster.
+    The file name without extension is the query id; the document may name its fleet and its cluster.
     """
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.json)?$", 1)
     stated = F.get_json_object("value", "$.cluster")
     return spark.read.format("text").option("wholetext", True).load(path).select(
+        F.get_json_object("value", "$.fleet").alias("fleet"),
         F.coalesce(stated, F.lit(cluster)).alias("cluster"),
         F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("query_id"),
         F.col("_metadata.file_modification_time").alias("captured_at"),
@@ -84,23 +98,83 @@ def bad_documents(records: DataFrame) -> DataFrame:
     return records.where(F.try_parse_json("document").isNull())
 
 
-def flatten_query(snapshots: DataFrame, table: str, path_map: Sequence[tuple] = PATH_MAP) -> DataFrame:
+def _first_array(variant: Column, paths: Sequence[str]) -> Column:
+    return F.coalesce(*[F.try_variant_get(variant, path, "array<variant>") for path in paths])
+
+
+def _value(variant: Column, paths: Sequence[str], kind: str) -> Column:
+    if kind not in _WITH_UNIT:
+        return F.coalesce(*[F.try_variant_get(variant, path, kind) for path in paths])
+    result, read = _WITH_UNIT[kind]
+    texts = [read(F.try_variant_get(variant, path, "string")) for path in paths]
+    whole = [F.round(t).try_cast(result) for t in texts] if result == "long" else texts
+    return F.coalesce(*[x for path, text in zip(paths, whole) for x in (F.try_variant_get(variant, path, result), text)])
+
+
+def stage_rows(snapshots: DataFrame) -> DataFrame:
+    """Every stage of every document: the keys, ``stage_path``, ``depth``, ``parent_stage_id`` and ``stage`` (VARIANT).
+
+    A document lists its stages, or nests them below its output stage; both are found. Nested stages are taken level by
+    level until a level has none; each level is written once, so the work is that of the documents and not of their depth squared.
+    ``stage_path`` counts places from the top, such as ``0.2.1``.
+    """
+    keys = [c for c in _KEYS if c in snapshots.columns]
+    body = F.col("body")
+    stated = [F.try_variant_get(body, path, "variant") for path in _ROOT_STAGES]
+    root = F.coalesce(*[F.when(~F.is_variant_null(stage), stage) for stage in stated])
+    listed = F.coalesce(_first_array(body, _TOP_STAGES), F.array().cast("array<variant>"))
+    tops = F.when(root.isNotNull(), F.concat(listed, F.array(root))).otherwise(listed)
+    level = snapshots.select(*keys, F.posexplode(tops).alias("place", "stage")).select(
+        *keys, F.col("place").cast("string").alias("stage_path"), F.lit(1).alias("depth"), F.lit(None).cast("string").alias("parent_stage_id"), "stage")
+    found = [level]
+    own_id = _value(F.col("stage"), ("$.stage_id", "$.stageId"), "string")
+    while True:
+        inner = level.select(*keys, "stage_path", "depth", own_id.alias("parent"), F.posexplode(_first_array(F.col("stage"), _SUB_STAGES)).alias("place", "stage"))
+        below = materialize(inner.select(
+            *keys, F.concat_ws(".", "stage_path", F.col("place").cast("string")).alias("stage_path"), (F.col("depth") + 1).alias("depth"), F.col("parent").alias("parent_stage_id"), "stage"))
+        if below.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        found.append(below)
+        level = below
+
+
+def flatten_query(
+    snapshots: DataFrame, table: str, path_map: Sequence[tuple] = PATH_MAP, stages: DataFrame | None = None, placed: bool = False
+) -> DataFrame:
     """One flat table (a key of :data:`ARRAYS`) out of all query documents.
 
-    Documents are exploded where they lie; nothing is shuffled. Missing fields are NULL.
+    Documents are exploded where they lie; nothing is shuffled. Missing fields are NULL. ``stages`` are the :func:`stage_rows` of
+    the documents, where they are known already; with ``placed`` tables of stages also tell where a stage stands.
     """
-    fields = [(f, level, path, kind) for t, f, level, path, kind in path_map if t == table]
+    fields = [(f, level, (paths,) if isinstance(paths, str) else paths, kind) for t, f, level, paths, kind in path_map if t == table]
     if not fields:
         raise ValueError(f"no such table: {table}")
-    keys = [c for c in _KEYS if c in snapshots.columns]
-    frame = snapshots.select(*keys, F.col("body").alias("_level0"))
-    for depth, array in enumerate(ARRAYS[table], 1):
-        frame = frame.withColumn(
-            f"_level{depth}", F.explode(F.try_variant_get(f"_level{depth - 1}", array, "array<variant>"))
-        )
-    return frame.select(
-        *keys, *[F.try_variant_get(f"_level{level}", path, kind).alias(f) for f, level, path, kind in fields]
-    )
+    keys, arrays = [c for c in _KEYS if c in snapshots.columns], ARRAYS[table]
+    extra: list[str] = []
+    if arrays[:1] == (STAGES,):
+        extra = ["stage_path", "depth", "parent_stage_id"] if placed else []
+        frame = (stage_rows(snapshots) if stages is None else stages).select(*keys, *extra, F.col("stage").alias("_level1"))
+        arrays, start = arrays[1:], 2
+    else:
+        frame, start = snapshots.select(*keys, F.col("body").alias("_level0")), 1
+    for depth, paths in enumerate(arrays, start):
+        frame = frame.withColumn(f"_level{depth}", F.explode(_first_array(F.col(f"_level{depth - 1}"), paths)))
+    return frame.select(*keys, *extra, *[_value(F.col(f"_level{level}"), paths, kind).alias(f) for f, level, paths, kind in fields])
+
+
+def flat_tables(records: DataFrame) -> dict[str, DataFrame]:
+    """All flat tables of a set of saved documents, from the last capture of each query; keys a document lacks are NULL.
+
+    Documents are parsed once, and the parsed ones written, for all tables.
+    """
+    last = latest_snapshot(records) if "captured_at" in records.columns else records
+    body = parse_snapshots(last)
+    for key in ("fleet", "cluster"):
+        if key not in body.columns:
+            body = body.withColumn(key, F.lit(None).cast("string"))
+    parsed = materialize(body.select(*_KEYS, "body"))
+    stages = stage_rows(parsed)
+    return {table: flatten_query(parsed, table, stages=stages) for table in ARRAYS}
 
 
 def read_runtime_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:

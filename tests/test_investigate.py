@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleet_audit.operators import investigate, report
 from fleet_audit.operators.thresholds import default_thresholds
-from fleet_audit.streaming import ingest
+from fleet_audit.sources.queries import flat_tables
 from tests.test_query_audit import FIRING, MB, document, scan
 
 COLUMNS = "cluster string, query_id string, document string"
@@ -23,7 +23,7 @@ def references(spark):
 
 def flat(spark, documents, references):
     rows = [("c1", name, json.dumps(d)) for name, d in documents.items()]
-    return {**ingest.flat_tables(spark.createDataFrame(rows, COLUMNS)), **references}
+    return {**flat_tables(spark.createDataFrame(rows, COLUMNS)), **references}
 
 
 def fired(findings):
@@ -82,7 +82,7 @@ def test_tables_of_one_name_in_two_clusters_stay_apart(spark):
     documents = {"a": document(operator={"spilled_bytes": 1}, scans=scan("t", range(9), "year(ds) = 1"))}
     rows = [(c, q, json.dumps(d)) for q, d in documents.items() for c in ("c1", "c2")]
     tables = {
-        **ingest.flat_tables(spark.createDataFrame(rows, COLUMNS)),
+        **flat_tables(spark.createDataFrame(rows, COLUMNS)),
         "table_files": spark.createDataFrame([("c1", "t", i, 64 * MB) for i in range(9)] + [("c2", "t", i, 1) for i in range(40)], "cluster string, table_id string, part bigint, bytes bigint"),
         "column_stats": spark.createDataFrame([("c1", "t", "a", 5, 9), ("c2", "t", "a", None, 9)], "cluster string, table_id string, column_name string, ndv bigint, row_count bigint"),
     }
