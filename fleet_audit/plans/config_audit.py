@@ -253,6 +253,18 @@ def search(spark, sf_dir):
                         F.length("text").cast("bigint").alias("chars"), "score")
 
 
+def search_by_index(spark, sf_dir):
+    """A query per conversation, each asked twice, in the passages that documents are; more than one pass over the passages would hold."""
+    documents = standins.table(spark, sf_dir, "documents").select(
+        C("doc_id").cast("string").alias("passage_id"), "text", C("source").alias("source_doc"),
+        F.concat(F.lit(">="), (400 + C("doc_id") % 30).cast("string")).alias("engine_version"))
+    asked = standins.table(spark, sf_dir, "conversations").where("turn = 0").select(
+        (C("conv_id") % 400).cast("string").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"),
+        (405 + C("conv_id") % 25).cast("string").alias("engine_version"))
+    found = search_recommendations(contexts.passages_from(documents), asked.unionAll(asked), k=5, queries_per_pass=0)
+    return found.select("query_id", C("rank").cast("bigint").alias("rank"), "passage_id", "source_doc", "score")
+
+
 # Expected results. ``n`` and ``h`` are the nodes and metastore nodes behind the files.
 _CTES = {
     "n": """select c_custkey as k, c_nationkey as nat, concat('c', c_nationkey) as cluster,
@@ -449,6 +461,7 @@ QUERIES = {
     "anomalies": anomalies,
     "resolve_scope": resolved_scopes,
     "search_recommendations": search,
+    "search_repeated_ids": search_by_index,
 }
 
 _LINE = "cast(line as bigint) as line"
@@ -611,6 +624,22 @@ ORACLES = {
           case when a or b or c then '' else 'auth,hms,jvm,memory,ranger' end as all_scopes
         from (select *, regexp_matches(text, '(?is)\\b(?:ther|thing)') as a, regexp_matches(text, '(?is)\\b(?:inthing)') as b,
                      regexp_matches(text, '(?is)\\b(?:erblest)') as c from conversations where role = 'user')""",
+    "search_repeated_ids": """
+        with tokens as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents),
+        stats as (select count(*) as n, avg(len(w)) as avgdl from tokens),
+        tf as (select doc_id, t, count(*) as f from (select doc_id, unnest(w) as t from tokens) group by all),
+        df as (select t, count(*) as d from tf group by all),
+        q as (select distinct conv_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:6], ' ')), '[\\p{L}\\p{N}]+')) as t
+              from conversations where turn = 0),
+        scored as (select conv_id, doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2
+              / (f + 1.2 * (0.25 + 0.75 * len(w) / avgdl))), 6) as score
+            from q join df using (t) join tf using (t) join tokens using (doc_id), stats
+            where 400 + doc_id % 30 <= 405 + conv_id % 25 group by conv_id, doc_id),
+        best as (select conv_id % 400 as id, doc_id, max(score) as score from scored group by all)
+        select cast(id as varchar) as query_id, row_number() over w as rank, cast(doc_id as varchar) as passage_id, source as source_doc, score
+        from best join documents using (doc_id)
+        window w as (partition by id order by score desc, cast(doc_id as varchar))
+        qualify row_number() over w <= 5""",
     "search_recommendations": """
         with tokens as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents),
         stats as (select count(*) as n, avg(len(w)) as avgdl from tokens),

@@ -320,6 +320,40 @@ def test_search_equals_brute_force(spark, per_pass):
     assert sorted((r.query_id, r["rank"], r.passage_id, r.score) for r in got) == _bm25(passages, queries, 4)
 
 
+@pytest.mark.parametrize("per_pass", [256, 0])
+def test_search_with_repeated_ids_and_copies(spark, per_pass):
+    passages = [("p1", "heap memory limits", None), ("p1", "heap memory limits", None), ("p1", "other words on heap", None), ("p2", "memory", ">=420"), ("p3", None, None), ("p4", "", None)]
+    df = spark.createDataFrame([(i, t, "d", 1, v) for i, t, v in passages], schemas.PASSAGES).repartition(3)
+    queries = [("q", "heap", "410")] * 40 + [("q", "memory", "410"), (None, "limits", None), ("r", "?!", "1"), ("s", "memory", "425")]
+    asked = spark.createDataFrame(queries, "query_id string, query string, engine_version string")
+    found = sorted((r.query_id or "", r["rank"], r.passage_id, r.text) for r in search_recommendations(df, asked, 2, per_pass).collect())
+    assert found == [("", 1, "p1", "heap memory limits"), ("q", 1, "p1", "heap memory limits"), ("q", 2, "p1", "other words on heap"),
+                     ("s", 1, "p2", "memory"), ("s", 2, "p1", "heap memory limits")]
+    assert search_recommendations(df.limit(0), asked, 2, per_pass).count() == search_recommendations(df, asked.limit(0), 2, per_pass).count() == 0
+
+
+def test_hot_terms_are_spread_and_skipped(spark, monkeypatch):
+    from fleet_audit.operators import search as operators_search
+
+    monkeypatch.setattr(operators_search, "POSTINGS_PER_KEY", 50)
+    texts = [f"the of a w{i} w{i % 7}" for i in range(400)]
+    df = spark.createDataFrame([(f"p{i}", t, "d", 1, None) for i, t in enumerate(texts)], schemas.PASSAGES).repartition(4)
+    asked = spark.createDataFrame([(f"q{i}", f"the of a w{i}", None) for i in range(30)], "query_id string, query string, engine_version string")
+    met = []
+    meet = operators_search._meet
+
+    def counted(terms, postings):
+        met.append({r.term for r in terms.select("term").distinct().collect()})
+        return meet(terms, postings)
+
+    monkeypatch.setattr(operators_search, "_meet", counted)
+    monkeypatch.setattr(operators_search, "STRONG_TERMS", 1)
+    got = search_recommendations(df, asked, 1, 0).collect()
+    want = _bm25([(f"p{i}", t, None) for i, t in enumerate(texts)], [(f"q{i}", f"the of a w{i}", "1") for i in range(30)], 1)
+    assert sorted((r.query_id, r["rank"], r.passage_id, r.score) for r in got) == want
+    assert all(not {"the", "of", "a"} & terms for terms in met)  # they are in every passage and decide nothing
+
+
 def test_stream_keeps_late_documents(spark, tmp_path):
     schema = "cluster string, query_id string, captured_at timestamp, snapshot_id long, document string"
     for batch in range(4):  # newest first
