@@ -41,25 +41,28 @@ def cap_summary(properties: DataFrame, n: int = SUMMARY_PROPERTIES) -> DataFrame
 
 
 def config_summary(entries: DataFrame, snapshot: DataFrame, n: int = SUMMARY_PROPERTIES) -> DataFrame:
-    """``cluster, part, parts, properties, source_files, anomalies, engine_version``.
+    """``cluster, part, parts, properties, properties_total, source_files, anomalies, engine_version``.
 
     Nested form of :func:`summary_properties`, :func:`anomalies` for one row per
-    cluster; long lists continue in further parts instead of growing one row.
+    cluster; long lists continue in further parts instead of growing one row. ``properties`` lists the first ``n``
+    and ``properties_total`` counts all; ``source_files`` are all files that entries came from, listed or not.
     """
-    listed = F.struct(
-        F.concat_ws(".", "role", "key").alias("k"), F.col("value").alias("v"), F.col("source_file").alias("f")
-    )
+    properties = summary_properties(entries)
+    listed = F.struct(F.concat_ws(".", "role", "key").alias("k"), F.col("value").alias("v"))
     kinds = {
-        "items": (cap_summary(summary_properties(entries), n), listed),
+        "items": (cap_summary(properties, n), listed),
+        "files": (entries.select("cluster", "file").distinct(), F.struct("file")),
         "anomalies": (anomalies(entries), F.struct("kind", "role", "node", "file", "key")),
     }
+    totals = properties.groupBy("cluster").agg(F.count(F.lit(1)).alias("properties_total"))
     return (
         nest_all(kinds, ["cluster"])
         .join(snapshot.select("cluster", "engine_version"), "cluster", "left")
+        .join(totals, "cluster", "left")
         .select(
             "cluster", "part", "parts",
-            F.map_from_entries(F.transform("items", lambda i: F.struct(i.k, i.v))).alias("properties"),
-            F.array_distinct(F.transform("items", lambda i: i.f)).alias("source_files"),
+            F.map_from_entries(F.transform("items", lambda i: F.struct(i.k, i.v))).alias("properties"), "properties_total",
+            F.transform("files", lambda i: i.file).alias("source_files"),
             "anomalies", "engine_version",
         )
     )

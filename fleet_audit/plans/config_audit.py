@@ -68,7 +68,7 @@ def assignment_entries(spark, sf_dir):
 
 
 def normalized_values(spark, sf_dir):
-    return _entries(spark, sf_dir).where("role <> 'ranger'").select(
+    return _entries(spark, sf_dir).select(
         "cluster", "node", "key", "raw", "kind", C("num").cast("double").alias("num"), "unit")
 
 
@@ -136,7 +136,7 @@ def unevaluable_rules(spark, sf_dir):
 
 
 def diff_clusters(spark, sf_dir):
-    return clusters.diff_clusters(_entries(spark, sf_dir), "c3", "c8").where("role <> 'ranger'")
+    return clusters.diff_clusters(_entries(spark, sf_dir), "c3", "c8")
 
 
 def heap_mismatch(spark, sf_dir):
@@ -209,25 +209,25 @@ def list_clusters(spark, sf_dir):
 
 
 def summary_properties(spark, sf_dir):
-    return clusters.summary_properties(_entries(spark, sf_dir)).where("role <> 'ranger'")
+    return clusters.summary_properties(_entries(spark, sf_dir))
 
 
 def capped_summary(spark, sf_dir):
-    entries = _entries(spark, sf_dir).where("role <> 'ranger'")
+    entries = _entries(spark, sf_dir)
     return clusters.cap_summary(clusters.summary_properties(entries), 3).select(
         "cluster", "role", "key", "values", C("position").cast("bigint").alias("position"))
 
 
 def config_summary(spark, sf_dir):
-    entries = _entries(spark, sf_dir).where("role <> 'ranger'")
+    entries = _entries(spark, sf_dir)
     return clusters.config_summary(entries, _snapshot(spark, sf_dir)).select(
-        "cluster", F.size("properties").cast("bigint").alias("properties"),
+        "cluster", F.size("properties").cast("bigint").alias("properties"), "properties_total",
         F.size("source_files").cast("bigint").alias("files"), F.size("anomalies").cast("bigint").alias("anomalies"),
         F.element_at("properties", "worker.node.environment").alias("environment"), "engine_version")
 
 
 def anomalies(spark, sf_dir):
-    return clusters.anomalies(_entries(spark, sf_dir).where("role <> 'ranger'"))
+    return clusters.anomalies(_entries(spark, sf_dir))
 
 
 SIGNALS = (("ther|thing", ("memory", "jvm")), ("inthing", ("hms",)), ("erblest", ("ranger", "hms", "auth")))
@@ -300,7 +300,11 @@ _CTES = {
                concat('thrift://hms-', case when s % 30 = 7 then 'old' else cast(nat as varchar) end, ':9083') as raw from h
         union all select cluster, 'hms', concat('h', s), 'hive-site.xml', 7, 'javax.jdo.option.ConnectionPassword',
                case when s % 41 = 3 then 'hunter2' else '********' end from h""",
-    "entries": "select * from props union all select * from jvm union all select * from hms",
+    "policies": """
+        select cluster, 'ranger' as role, concat('r', s) as node, 'policies.json' as file, 2 + i as line, concat('policy.', i, '.', field) as key,
+               case field when 'id' then cast(i as varchar) when 'name' then concat('p-', s) else case i when 1 then 'true' else 'false' end end as raw
+        from h, (values (1), (2)) p(i), (values ('id'), ('name'), ('isEnabled')) f(field)""",
+    "entries": "select * from props union all select * from jvm union all select * from hms union all select * from policies",
     "masked": """select *, case when key ilike '%password%' and raw = 'hunter2' then '********'
         when key ilike '%secret%' and raw like 's3cr3t%' then '********' else raw end as shown from entries""",
     "values_": """select *,
@@ -377,7 +381,7 @@ _CTES["odd"] = """
       group by cluster, role, key having count(*) filter (kind = 'text') > 0
         and count(*) filter (kind <> 'text') > count(*) filter (kind = 'text')"""
 
-_BASE = ["n", "h", "props", "jvm", "hms", "entries", "masked", "values_", "hint", "known", "snap", "heap", "v", "fired"]
+_BASE = ["n", "h", "props", "jvm", "hms", "policies", "entries", "masked", "values_", "hint", "known", "snap", "heap", "v", "fired"]
 
 
 def _sql(body: str, *more: str) -> str:
@@ -565,8 +569,8 @@ ORACLES = {
     "enrich": _sql("""
         , docs as (select * from (values ('MEM-001', 'Memory Guide', 14), ('MEM-002', 'Memory Guide', 15),
              ('ENV-001', 'Deployment Guide', 3), ('CON-001', 'Tuning Guide', 8)) d(rule_id, doc, page)),
-          own as (select * from (values ('MEM-001', 'Leaves headroom for allocation outside queries.'),
-             ('MEM-002', 'Leaves headroom for allocation outside queries.'),
+          own as (select * from (values ('MEM-001', 'Planning and metadata share this heap with the queries.'),
+             ('MEM-002', 'Exchange buffers and readers need heap beside the queries.'),
              ('ENV-001', 'Nodes of one cluster share an environment name.'),
              ('CON-001', 'More tasks than cores only wait for each other.')) o(rule_id, text)),
           said as (select doc, page, min(text) as text from passages group by all),
@@ -609,12 +613,13 @@ ORACLES = {
         window w as (partition by cluster order by values desc, key, role)
         qualify row_number() over w <= 3""", "summary"),
     "config_summary": _sql("""
-        , f as (select cluster, count(*) as properties, count(distinct source_file) as files,
+        , f as (select cluster, count(*) as properties, count(*) as properties_total,
               max(case when role = 'worker' and key = 'node.environment' then value end) as environment
             from summary group by all),
+          g as (select cluster, count(distinct file) as files from entries group by all),
           a as (select cluster, count(*) as anomalies from odd group by all)
-        select f.cluster, properties, files, anomalies, environment, engine_version
-        from f join snap using (cluster) left join a using (cluster)""", "summary", "odd"),
+        select f.cluster, properties, properties_total, files, anomalies, environment, engine_version
+        from f join g using (cluster) join snap using (cluster) left join a using (cluster)""", "summary", "odd"),
     "anomalies": _sql("select * from odd", "odd"),
     "resolve_scope": """
         select conv_id, turn,

@@ -18,9 +18,9 @@ _KEYS = ("fleet", "cluster", "query_id")
 
 RULES = (
     ("MEM-001", "memory", ("coordinator", ">=413"), "query.max-memory-per-node", "value <= 0.3 * jvm_heap",
-     "high", "Leaves headroom for allocation outside queries.", "Memory Guide p.14"),
+     "high", "Planning and metadata share this heap with the queries.", "Memory Guide p.14"),
     ("MEM-002", "memory", ("worker", ">=420"), "query.max-memory-per-node", "value <= 0.25 * jvm_heap",
-     "high", "Leaves headroom for allocation outside queries.", "Memory Guide p.15"),
+     "high", "Exchange buffers and readers need heap beside the queries.", "Memory Guide p.15"),
     ("ENV-001", "general", ("worker", None), "node.environment", "text = 'production'",
      "medium", "Nodes of one cluster share an environment name.", "Deployment Guide p.3"),
     ("CON-001", "tasks", (None, "<425"), "task.concurrency", "value <= 16",

@@ -225,6 +225,15 @@ def test_inventory_and_summary(entries, snapshot):
     assert "coordinator.task.concurrency" in summary["c1"].properties
 
 
+def test_summary_tells_what_it_leaves_out(spark, snapshot):
+    rows = [("c1", "worker", "n", f"{'a' if k % 2 else 'b'}.properties", k, f"key{k}", "1", "number") for k in range(60)]
+    rows += [("c1", "worker", "n", f, 1, "twice", "1", "number") for f in ("x.properties", "y.properties")]
+    entries = spark.createDataFrame(rows, "cluster string, role string, node string, file string, line int, key string, raw string, kind string")
+    found = clusters.config_summary(entries, snapshot).collect()
+    assert {r.properties_total for r in found} == {61} and sum(len(r.properties or {}) for r in found) == clusters.SUMMARY_PROPERTIES
+    assert sorted(f for r in found for f in r.source_files or []) == ["a.properties", "b.properties", "x.properties", "y.properties"]
+
+
 def test_differences(entries):
     rows = {(r.role, r.property): (r.a, r.b) for r in clusters.diff_clusters(entries, "c1", "c2").collect()}
     assert rows[("coordinator", "hive.metastore.uri")] == ("thrift://hms-old:9083", "thrift://hms-9:9083")
