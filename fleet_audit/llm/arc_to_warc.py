@@ -158,7 +158,8 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                         yield stream.file, place, version or 0, None, None, None, None, None, None, None, True, 0
                         break
                     url, ip, date, mime, status, _ = found
-                    if url.startswith("filedesc://"):
+                    # Only a file's first record can be its opening block; a page may have such a URL, too.
+                    if place == 0 and version is None and url.startswith("filedesc://"):
                         version = int(block.split(None, 1)[0]) if block[:1] in (b"1", b"2") else 1
                         continue
                     http = block.find(b"\r\n\r\n") if block[:5] == b"HTTP/" else -1
@@ -205,9 +206,21 @@ def _is_date(date: str) -> bool:
         return False
 
 
-def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, order: Column | None = None) -> None:
-    """Convert all ARC files below ``arc_path``. ``order`` over ``header, date, file, place`` says which of equal payloads is first."""
-    arc = read_arc(spark, arc_path).filter("not malformed")
+def usable(records: DataFrame, strict: bool) -> Column:
+    """Keeps the records that could be read. With ``strict`` one that could not fails the job and names its file."""
+    if not strict:
+        return ~F.col("malformed")
+    where = F.concat(F.lit("malformed record "), F.col("place").cast("string"), F.lit(" in "), F.col("file"))
+    return F.when(F.col("malformed"), F.raise_error(where).cast("boolean")).otherwise(True)
+
+
+def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, order: Column | None = None, strict: bool = False) -> None:
+    """Convert all ARC files below ``arc_path``. ``order`` over ``header, date, file, place`` says which of equal payloads is first.
+
+    What cannot be read is left out and stays visible in ``read_arc``; with ``strict`` it fails the conversion.
+    """
+    arc = read_arc(spark, arc_path)
+    arc = arc.filter(usable(arc, strict))
     rank = F.struct(*([order] if order is not None else []), "date", "file", "place")
     sums = arc.select("file", "place", "url", "date", F.sha2("payload", 256).alias("digest"), F.length("payload").alias("bytes"), rank.alias("rank"))
     shared = sums.filter(F.col("bytes") >= REVISIT_FROM).groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")

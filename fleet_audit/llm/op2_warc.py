@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleet_audit.llm.arc_to_warc import arc_to_warc, read_warc, write_arc
+from fleet_audit.llm.arc_to_warc import arc_to_warc, read_warc, usable, write_arc
 from fleet_audit.llm.shared import kept, new_path, table
 
 #: The HTTP header line that carries a page's id through the archives.
@@ -31,9 +31,11 @@ def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("200").alias("status"), header.cast("binary").alias("header"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(records, arc)
-    arc_to_warc(spark, arc, warc, order=_page_id(F.col("header")))
+    known = _page_id(F.col("header"))
+    arc_to_warc(spark, arc, warc, order=F.struct(known.isNull().alias("unknown"), known.alias("page_id")), strict=True)
 
-    found = read_warc(spark, warc).filter("not malformed and fields['warc-type'] != 'warcinfo'")
+    found = read_warc(spark, warc)
+    found = found.filter(usable(found, strict=True)).filter("fields['warc-type'] != 'warcinfo'")
     split = found.select(
         F.col("fields")["warc-record-id"].alias("record"), F.col("fields")["warc-type"].alias("record_type"), F.col("fields")["warc-refers-to"].alias("to"),
         F.col("fields")["warc-payload-digest"].alias("declared"), _page_id(F.substring("block", 1, 1000)).alias("page_id"), _body("block").alias("payload"))
@@ -48,7 +50,7 @@ def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 op2_sql = """
 with sized as (select page_id, coalesce(html, '') body, strlen(coalesce(html, '')) n from pages),
-ranked as (select *, row_number() over (partition by body order by page_id) k, min(page_id) over (partition by body) first from sized)
+ranked as (select *, row_number() over (partition by body order by page_id nulls last) k, min(page_id) over (partition by body) first from sized)
 select page_id, n::bigint payload_bytes, sha256(body) payload_digest,
     case when n >= 100 and k > 1 then 'revisit' else 'response' end record_type,
     case when n >= 100 and k > 1 then first end refers_to

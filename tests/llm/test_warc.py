@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleet_audit.llm.arc_to_warc import _is_date, arc_to_warc, read_arc, read_warc, warc_fields, write_arc
@@ -70,3 +71,22 @@ def test_query_over_odd_pages(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert op2_arc_to_warc(spark, str(tmp_path)).collect() == []
+
+
+def test_pages_with_odd_urls_and_unknown_ids(spark, tmp_path):
+    """A URL like that of an opening block is a page's own, and a page without an id never stands for others."""
+    body = "<p>" + "x" * 200
+    rows = [(1, "http://a/", "one"), (2, "filedesc://page", "two"), (3, "http://b/", body), (None, "http://c/", body), (4, "filedesc://a.arc", body), (None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).write.parquet(str(tmp_path / "pages.parquet"))
+    found = op2_arc_to_warc(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in found) == sorted(
+        [(1, "response", None, 3), (2, "response", None, 3), (3, "response", None, 203), (0, "revisit", 3, 203), (4, "revisit", 3, 203), (0, "response", None, 0)], key=lambda r: (r[0], r[1]))
+
+
+def test_malformed_records_fail_a_strict_conversion(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.arc").write_bytes(b"filedesc://a 0.0.0.0 20000101000000 text/plain 5\n1 0 x\nhttp://a/ 1.1.1.1 20000101000000 text/html 999\nshort\n")
+    assert read_arc(spark, str(tmp_path / "in")).filter("malformed").count() == 1
+    arc_to_warc(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    with pytest.raises(Exception, match="malformed record"):
+        arc_to_warc(spark, str(tmp_path / "in"), str(tmp_path / "strict"), strict=True)
