@@ -120,6 +120,23 @@ def runtime_fill(spark, sf_dir):
     return queries.fill_from_runtime(holes, runtime["queries"])
 
 
+def merged_tasks(spark, sf_dir):
+    """Documents list the tasks of every other query, and no times of every third; the runtime tables have the rest, and the nodes."""
+    root, every = stores.shared_folder(spark), standins.tasks(spark, sf_dir)
+    number = F.replace("query_id", F.lit("q"), F.lit("")).cast("bigint")
+    node = F.concat(F.lit("n"), F.pmod(number, F.lit(7)).cast("string"))
+    every.select("cluster", "query_id", "stage_id", "task_id", (C("wall_ms") + 1).alias("wall_ms"), node.alias("node")).where(number % 5 != 0).write.parquet(f"{root}/tasks")
+    standins.query_info(spark, sf_dir).write.parquet(f"{root}/queries")
+    versions = standins.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("c"), (C("s_suppkey") % 25).cast("string")).alias("cluster"), F.concat(F.lit("n"), (C("s_suppkey") % 6).cast("string")).alias("node"),
+        (400 + C("s_suppkey") % 9).cast("string").alias("node_version"))
+    versions.write.parquet(f"{root}/nodes")
+    runtime = queries.read_runtime_tables(spark, root)
+    saved = every.where(number % 2 == 0).withColumn("wall_ms", F.when(number % 3 != 0, C("wall_ms")))
+    return queries.merge_tasks(saved, runtime["tasks"], runtime["nodes"]).select(
+        "cluster", "query_id", "stage_id", "task_id", "fleet", "wall_ms", "node", "node_version", "seen_in")
+
+
 def table_metadata(spark, sf_dir):
     """Partition listing of one table kind, file listing of the other, statistics as exported."""
     root, files = stores.shared_folder(spark), standins.table_files(spark, sf_dir)
@@ -237,6 +254,7 @@ QUERIES = {
     "flatten_nested_query_info": nested_query_info,
     "analyze_store": analyzed_store,
     "fill_from_runtime": runtime_fill,
+    "merge_tasks": merged_tasks,
     "read_table_metadata": table_metadata,
     "read_context": context_rows,
     "read_passages": passages,
@@ -313,6 +331,16 @@ ORACLES = {
         ["operators", "query_info", "dynamic_filters", "all_tasks", "scans", "scan_files", "table_files", "column_stats"],
         " union all ".join("(" + sql.replace("from tasks", "from all_tasks") + ")" for sql in oracle.DETECTED.values())),
     "fill_from_runtime": oracle.with_ctes(_T, ["query_info"], "select * from query_info"),
+    "merge_tasks": oracle.with_ctes(_T, ["tasks"], """
+        , numbered as (select *, cast(query_id[2:] as bigint) as k from tasks),
+          saved as (select cluster, query_id, stage_id, task_id, fleet, min(case when k % 3 <> 0 then wall_ms end) as wall_ms from numbered where k % 2 = 0 group by all),
+          seen as (select cluster, query_id, stage_id, task_id, min(wall_ms + 1) as wall_ms, concat('n', k % 7) as node from numbered where k % 5 <> 0 group by all),
+          nodes as (select concat('c', s_suppkey % 25) as cluster, concat('n', s_suppkey % 6) as node, cast(max(400 + s_suppkey % 9) as varchar) as node_version from supplier group by all)
+        select coalesce(d.cluster, r.cluster) as cluster, coalesce(d.query_id, r.query_id) as query_id, coalesce(d.stage_id, r.stage_id) as stage_id,
+            coalesce(d.task_id, r.task_id) as task_id, d.fleet, coalesce(d.wall_ms, r.wall_ms) as wall_ms, r.node, n.node_version,
+            case when r.cluster is null then 'document' when d.cluster is null then 'runtime' else 'both' end as seen_in
+        from saved d full join seen r on d.cluster = r.cluster and d.query_id = r.query_id and d.stage_id = r.stage_id and d.task_id = r.task_id
+        left join nodes n on n.cluster = coalesce(d.cluster, r.cluster) and n.node = r.node"""),
     "read_table_metadata": oracle.with_ctes(_T, ["table_files", "column_stats"], """
         select f.table_id, cast(part as varchar) as part, format, count(*) as files, count(*) filter (format = 'PARQUET') as paths,
                cast(sum(bytes) as bigint) as bytes, any_value(known_ndv) as known_ndv

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleet_audit.functions.text import data_bytes, duration_ms
+from fleet_audit.functions.versions import version_array
 from fleet_audit.operators.telemetry import latest_snapshot
 from fleet_audit.sources.stores import materialize
 
@@ -190,3 +191,29 @@ def fill_from_runtime(query_info: DataFrame, runtime_queries: DataFrame) -> Data
     return joined.select(*[
         F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in fields else F.col(c) for c in query_info.columns
     ])
+
+
+def merge_tasks(tasks: DataFrame, runtime_tasks: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Tasks of documents and of the runtime table in one, field by field: ``tasks`` with ``node, node_version, seen_in``.
+
+    A task is the same when cluster, query, stage and task id are. The document, written when the query was over, decides; the
+    runtime table supplies what it lacks, and tasks that no document lists (of a query still running, or cut from
+    its document). ``seen_in`` is ``document``, ``runtime`` or ``both``. ``nodes`` (``cluster, node, node_version``) tells
+    where a task ran on what; a node listed twice counts once, with its greatest version. Sources are aggregated by task before they meet,
+    so a task listed twice stays one row.
+    """
+    keys = ["cluster", "query_id", "stage_id", "task_id"]
+
+    def side(df: DataFrame, rank: int) -> DataFrame:
+        text = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+        return df.select(*keys, text("fleet").alias("fleet"), text("node").alias("node"), F.col("wall_ms").cast("double").alias("wall_ms"), F.lit(rank).alias("rank"))
+
+    both = side(tasks, 0).unionByName(side(runtime_tasks, 1))
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("rank", F.col(c).alias("v")))).getField("v")
+    merged = both.groupBy(*keys).agg(
+        first("fleet").alias("fleet"), first("wall_ms").alias("wall_ms"), first("node").alias("node"),
+        F.when(F.min("rank") == F.max("rank"), F.when(F.min("rank") == 0, "document").otherwise("runtime")).otherwise("both").alias("seen_in"))
+    if nodes is None:
+        return merged.withColumn("node_version", F.lit(None).cast("string"))
+    listed = nodes.groupBy("cluster", "node").agg(F.max(F.struct(version_array(F.col("node_version")), "node_version")).getField("node_version").alias("node_version"))
+    return merged.join(listed, ["cluster", "node"], "left")

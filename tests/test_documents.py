@@ -79,3 +79,17 @@ def test_stored_captures_count_once_and_fleets_have_their_limits(spark, tmp_path
 def test_a_document_may_name_its_fleet(spark, tmp_path):
     (tmp_path / "q.json").write_text(json.dumps(document() | {"fleet": "f7"}))
     assert flat_tables(read_query_documents(spark, str(tmp_path)))["query_info"].first().fleet == "f7"
+
+
+def test_tasks_of_documents_and_of_the_runtime_tables(spark):
+    from fleet_audit.sources.queries import merge_tasks
+
+    task = "cluster string, query_id string, stage_id string, task_id string, wall_ms double"
+    saved = spark.createDataFrame([("c", "q", "s", "1", 5.0, "f"), ("c", "q", "s", "2", None, "f"), ("c", "q", "s", "2", None, "f"), ("c", "q", "s", "3", 7.0, "f")], task + ", fleet string")
+    seen = spark.createDataFrame([("c", "q", "s", "1", 6.0, "n1"), ("c", "q", "s", "2", 9.0, "n2"), ("c", "p", "s", "1", 1.0, None), ("c", "q", "s", "2", 8.0, "n2")], task + ", node string")
+    nodes = spark.createDataFrame([("c", "n1", "99"), ("c", "n1", "400"), ("d", "n2", "1")], "cluster string, node string, node_version string")
+    found = {(r.query_id, r.task_id): (r.fleet, r.wall_ms, r.node, r.node_version, r.seen_in) for r in merge_tasks(saved, seen, nodes).collect()}
+    assert found == {
+        ("q", "1"): ("f", 5.0, "n1", "400", "both"), ("q", "2"): ("f", 8.0, "n2", None, "both"),
+        ("q", "3"): ("f", 7.0, None, None, "document"), ("p", "1"): (None, 1.0, None, None, "runtime")}
+    assert merge_tasks(saved.limit(0), seen.limit(0)).count() == 0
