@@ -75,7 +75,7 @@ class FleetAudit:
         found = all_findings(
             rules.run_rules(entries, self.catalogue, snapshot, scope), *cross_checks(entries, self._files(cluster)))
         counts = versions.rule_run_counts(rules_in_scope(self.catalogue, scope), snapshot)
-        return enrich.enrich(found, context, self.passages), counts
+        return enrich.enrich(found, context, self.passages, snapshot), counts
 
     def guidance_notes(self, context: DataFrame) -> DataFrame:
         return enrich.annotate_uncovered(context, self.catalogue).unionByName(

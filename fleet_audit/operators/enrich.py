@@ -6,11 +6,15 @@ suppresses none; where it disagrees with a rule, both are named in a note.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleet_audit.findings import to_notes
 from fleet_audit.functions.text import limit_parts
+from fleet_audit.functions.versions import gate_array, version_array, version_in_gate
+from fleet_audit.sources.stores import materialize
 
 #: Where a reason may come from, best first; the catalogue's own is always there.
 RESOLUTION_ORDER = ("context_passage", "context_property", "local_index", "rule_catalog")
@@ -28,61 +32,61 @@ def best_rationale(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
-def _candidates(context: DataFrame | None, passages: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-    """Reasons by document and page, and reasons by property, one per key."""
-    by_page, by_property = [], None
-    if context is not None:
-        by_page.append(context.where("kind = 'passage' and text is not null").select(
-            "doc", "page", "text", F.lit(0).alias("priority")))
-        by_property = best_rationale(
-            context.where("kind = 'property' and text is not null").select(
-                "property", "text", F.lit(1).alias("priority")), ["property"])
-    if passages is not None:
-        by_page.append(passages.where("text is not null").select(
-            F.col("source_doc").alias("doc"), "page", "text", F.lit(2).alias("priority")))
-    pages = None
-    for part in by_page:
-        pages = part if pages is None else pages.unionByName(part)
-    return (None if pages is None else best_rationale(pages, ["doc", "page"])), by_property
-
-
-def enrich(findings: DataFrame, context: DataFrame | None = None, passages: DataFrame | None = None) -> DataFrame:
+def _guided(asked: DataFrame, context: DataFrame, kind: str, keys: list[str], output: str) -> DataFrame:
+    """``asked`` with the text that the guidance of its cluster gives on ``keys``, or else guidance for all clusters."""
+    given = context.where((F.col("kind") == kind) & F.col("text").isNotNull()).select("cluster", *keys, "text", F.lit(0).alias("priority"))
+    best = best_rationale(given, ["cluster", *keys])
+    own = best.where("cluster is not null").select("cluster", *keys, F.col("text").alias("_own"))
+    general = best.where("cluster is null").select(*keys, F.col("text").alias("_all"))
+    return asked.join(own, ["cluster", *keys], "left").join(general, keys, "left").withColumn(output, F.coalesce("_own", "_all")).drop("_own", "_all")
+
+
+def _indexed(asked: DataFrame, passages: DataFrame, snapshot: DataFrame | None, output: str) -> DataFrame:
+    """``asked`` with the text of the local index on its document and page that holds for the version of its cluster."""
+    pages = ["doc", "page"]
+    given = passages.where("text is not null").select(F.col("source_doc").alias("doc"), "page", "engine_version", "text", F.lit(0).alias("priority"))
+    if snapshot is None:
+        best = best_rationale(given, pages)
+        return asked.join(best.select(*pages, F.col("text").alias(output)), pages, "left")
+    versions = snapshot.groupBy("cluster").agg(F.max("engine_version").alias("_version"))
+    asked = asked.join(versions, "cluster", "left").withColumn("_version", F.coalesce("_version", F.lit("")))
+    # One question per version and page, and one answer per version range of a page.
+    ranges = best_rationale(given, [*pages, "engine_version"])
+    met = version_in_gate(version_array(F.col("_version")), gate_array(F.col("engine_version")))
+    fitting = asked.select("_version", *pages).distinct().join(ranges, pages).where(met)
+    best = best_rationale(fitting, ["_version", *pages])
+    return asked.join(best.select("_version", *pages, F.col("text").alias(output)), ["_version", *pages], "left").drop("_version")
+
+
+def enrich(
+    findings: DataFrame, context: DataFrame | None = None, passages: DataFrame | None = None, snapshot: DataFrame | None = None
+) -> DataFrame:
     """Resolve the rationale of each finding; rows, ids and order of columns stay.
 
     Order: a context passage for the finding's document and page, context guidance on
-    its property, the local index, the catalogue. Candidates are one row per key, so
-    the joins add no rows.
+    its property, the local index, the catalogue. Guidance that names a cluster holds for this cluster only and comes before
+    guidance for all; with ``snapshot`` a passage with a version gate is taken only where the cluster's version meets it.
+
+    Findings are reduced to what they ask about (cluster, document, page, property) before anything is joined, and answers are one row
+    per question, so a rule that fired everywhere is no hot key and no join adds rows. Findings are written once, since they are read
+    for their questions and for the result.
     """
-    pages, properties = _candidates(context, passages)
-    result = findings
-    if pages is not None:
-        page = pages.select(F.col("doc").alias("_doc"), F.col("page").alias("_page"),
-                            F.col("text").alias("_page_text"), F.col("priority").alias("_page_priority"))
-        result = result.join(
-            page, (F.col("doc_ref.source") == F.col("_doc")) & (F.col("doc_ref.page") == F.col("_page")), "left"
-        )
-    else:
-        result = result.withColumns({"_page_text": F.lit(None).cast("string"), "_page_priority": F.lit(None).cast("int")})
-    if properties is not None:
-        own = properties.select(F.col("property").alias("_property"), F.col("text").alias("_property_text"))
-        # Only catalogue findings are about a property the guidance can name.
-        result = result.join(own, F.col("property") == F.col("_property"), "left")
-    else:
-        result = result.withColumn("_property_text", F.lit(None).cast("string"))
-    from_page = F.col("_page_priority") == 0
-    text = (
-        F.when(from_page, F.col("_page_text"))
-        .when(F.col("_property_text").isNotNull(), F.col("_property_text"))
-        .when(F.col("_page_text").isNotNull(), F.col("_page_text"))
-        .otherwise(F.col("rationale"))
-    )
-    source = (
-        F.when(from_page, RESOLUTION_ORDER[0])
-        .when(F.col("_property_text").isNotNull(), RESOLUTION_ORDER[1])
-        .when(F.col("_page_text").isNotNull(), RESOLUTION_ORDER[2])
-        .otherwise(F.col("rationale_source"))
-    )
-    return result.withColumns({"rationale": text, "rationale_source": source}).select(*findings.columns)
+    if context is None and passages is None:
+        return findings
+    findings = materialize(findings)
+    key = {"cluster": F.col("cluster"), "doc": F.col("doc_ref.source"), "page": F.col("doc_ref.page"), "property": F.col("property")}
+    asked = findings.select(*[c.alias(n) for n, c in key.items()]).distinct()
+    none = F.lit(None).cast("string")
+    asked = _guided(asked, context, "passage", ["doc", "page"], "_said") if context is not None else asked.withColumn("_said", none)
+    asked = _guided(asked, context, "property", ["property"], "_advised") if context is not None else asked.withColumn("_advised", none)
+    asked = _indexed(asked, passages, snapshot, "_found") if passages is not None else asked.withColumn("_found", none)
+    answers = ("_said", "_advised", "_found")
+    source = F.coalesce(*[F.when(F.col(c).isNotNull(), name) for c, name in zip(answers, RESOLUTION_ORDER)])
+    answered = asked.select(*[F.col(n).alias(f"_{n}") for n in key], F.coalesce(*answers).alias("_text"), source.alias("_source")).where("_source is not null")
+    same = reduce(Column.__and__, [c.eqNullSafe(F.col(f"_{n}")) for n, c in key.items()])
+    found = findings.join(answered, same, "left")
+    return found.withColumns({
+        "rationale": F.coalesce("_text", "rationale"), "rationale_source": F.coalesce("_source", "rationale_source")}).select(*findings.columns)
 
 
 def annotate_uncovered(context: DataFrame, rules: DataFrame) -> DataFrame:

@@ -173,6 +173,23 @@ def enriched(spark, sf_dir):
         F.count(F.lit(1)).alias("findings"))
 
 
+def enriched_per_cluster(spark, sf_dir):
+    """Guidance of some clusters and of all, and passages for some versions only."""
+    snapshot = _snapshot(spark, sf_dir)
+    found = rules.run_rules(_entries(spark, sf_dir), standins.rules(spark), snapshot)
+    number, none = C("p_partkey"), F.lit(None).cast("string")
+    context = standins.table(spark, sf_dir, "part").where("p_partkey % 4 < 3").select(
+        F.when(number % 4 > 0, F.concat(F.lit("c"), (number % 25).cast("string"))).alias("cluster"), F.lit("outside").alias("source"),
+        F.when(number % 4 == 1, "passage").otherwise("property").alias("kind"),
+        F.when(number % 4 != 1, F.when(number % 3 == 0, "task.concurrency").otherwise("node.environment")).alias("property"), C("p_name").alias("text"),
+        F.when(number % 4 == 1, "Memory Guide").alias("doc"), F.when(number % 4 == 1, (14 + number % 2).cast("int")).alias("page"), none.alias("engine_version_hint"))
+    index = contexts.passages_from(standins.table(spark, sf_dir, "documents").select(
+        F.md5("text").alias("text"), F.when(C("doc_id") % 2 == 0, "Memory Guide").otherwise("Tuning Guide").alias("source_doc"),
+        F.when(C("doc_id") % 2 == 0, 15).otherwise(8).alias("page"), F.concat(F.lit(">="), (415 + C("doc_id") % 20).cast("string")).alias("engine_version"),
+        F.concat(F.lit("d"), C("doc_id").cast("string")).alias("passage_id")))
+    return enrich.enrich(found, context, index, snapshot).groupBy("cluster", "rule_id", "rationale_source", "rationale").agg(F.count(F.lit(1)).alias("findings"))
+
+
 def context_independence(spark, sf_dir):
     """Rule ids with guidance against without it, for clusters whose version is detected."""
     entries = materialize(_entries(spark, sf_dir))
@@ -454,6 +471,7 @@ QUERIES = {
     "check_fleet_drift": fleet_drift,
     "all_config_findings": all_config_findings,
     "enrich": enriched,
+    "enrich_per_cluster": enriched_per_cluster,
     "context_independence": context_independence,
     "annotate_uncovered": uncovered_guidance,
     "guidance_conflicts": guidance_conflicts,
@@ -586,6 +604,29 @@ ORACLES = {
           left join said on said.doc = docs.doc and said.page = docs.page
           left join by_property p on p.property = f.property
           left join local on local.doc = docs.doc and local.page = docs.page) group by all""", "guided", "passages"),
+    "enrich_per_cluster": _sql("""
+        , docs as (select * from (values ('MEM-001', 'Memory Guide', 14), ('MEM-002', 'Memory Guide', 15),
+             ('ENV-001', 'Deployment Guide', 3), ('CON-001', 'Tuning Guide', 8)) d(rule_id, doc, page)),
+          own as (select * from (values ('MEM-001', 'Planning and metadata share this heap with the queries.'),
+             ('MEM-002', 'Exchange buffers and readers need heap beside the queries.'),
+             ('ENV-001', 'Nodes of one cluster share an environment name.'),
+             ('CON-001', 'More tasks than cores only wait for each other.')) o(rule_id, text)),
+          given as (select case when p_partkey % 4 > 0 then concat('c', p_partkey % 25) end as cluster, p_partkey % 4 = 1 as is_passage,
+               case when p_partkey % 3 = 0 then 'task.concurrency' else 'node.environment' end as property, p_name as text, 14 + p_partkey % 2 as page
+             from part where p_partkey % 4 < 3),
+          said as (select cluster, page, min(text) as text from given where is_passage group by all),
+          advised as (select cluster, property, min(text) as text from given where not is_passage group by all),
+          listed as (select case when doc_id % 2 = 0 then 'Memory Guide' else 'Tuning Guide' end as doc, 415 + doc_id % 20 as since, min(md5(text)) as text
+             from documents group by all),
+          told as (select f.cluster, f.rule_id, s.text as s, coalesce(a.text, g.text) as p, own.text as o,
+               (select min(l.text) from listed l where l.doc = docs.doc and docs.page in (8, 15) and l.since <= snap.version) as l
+             from fired f join docs on f.rule_id = docs.rule_id join own on f.rule_id = own.rule_id join snap on snap.cluster = f.cluster
+             left join said s on docs.doc = 'Memory Guide' and s.page = docs.page and s.cluster = f.cluster
+             left join advised a on a.property = f.property and a.cluster = f.cluster
+             left join advised g on g.property = f.property and g.cluster is null)
+        select cluster, rule_id, case when s is not null then 'context_passage' when p is not null then 'context_property'
+            when l is not null then 'local_index' else 'rule_catalog' end as rationale_source, coalesce(s, p, l, o) as rationale, count(*) as findings
+        from told group by all"""),
     "context_independence": _sql("""select rule_id, count(*) as findings, cast(0 as bigint) as surplus
         from fired join snap using (cluster) where version_source = 'detected' group by all"""),
     "annotate_uncovered": _sql("""select 'unvalidated_guidance' as kind, property, text, 'low' as severity from guided

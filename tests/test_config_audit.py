@@ -271,3 +271,21 @@ def test_size_checks_raise_instead_of_cutting(spark):
 
 def test_properties_of_all_parsers_have_entries(files):
     assert parse_all(files).where("line is null").count() == 0
+
+
+def test_guidance_of_another_cluster_changes_nothing(spark):
+    from fleet_audit import schemas
+    from fleet_audit.findings import to_findings
+    from fleet_audit.operators.enrich import enrich
+
+    fired = spark.createDataFrame([("c1", "p.x", 3), ("c2", "p.x", 3), (None, "p.x", 3), ("c1", "p.y", None)], "cluster string, property string, page int")
+    found = to_findings(fired, rule_id="R", severity="low", rationale="own", cluster=F.col("cluster"), property=F.col("property"), doc_ref={"source": F.lit("G"), "page": F.col("page")})
+    rows = [("c1", "property", "p.x", "for c1", None, None), (None, "property", "p.x", "for all", None, None), ("c2", "passage", None, "page of c2", "G", 3), ("c9", "passage", None, "page of c9", "G", 3)]
+    context = spark.createDataFrame(rows, "cluster string, kind string, property string, text string, doc string, page int")
+    said = {(r.cluster, r.property): (r.rationale, r.rationale_source) for r in enrich(found, context).collect()}
+    assert said == {("c1", "p.x"): ("for c1", "context_property"), ("c2", "p.x"): ("page of c2", "context_passage"),
+                    (None, "p.x"): ("for all", "context_property"), ("c1", "p.y"): ("own", "rule_catalog")}
+    index = spark.createDataFrame([("1", "old", "G", 3, "<420"), ("2", "new", "G", 3, ">=420")], schemas.PASSAGES)
+    versions = spark.createDataFrame([("c1", "425"), ("c2", "410")], "cluster string, engine_version string")
+    said = {r.cluster: r.rationale for r in enrich(found.where("property = 'p.x'"), None, index, versions).collect()}
+    assert said == {"c1": "new", "c2": "old", None: "own"}
