@@ -62,3 +62,7 @@ def test_escaped_names_of_inner_stages_are_found(spark):
     found = queries.flatten_query(parsed, "stages").select("query_id", "stage_id").collect()
     assert sorted(map(tuple, found)) == [("q1", "a"), ("q1", "b"), ("q2", "a")]
     assert [r.query_id for r in parsed.where("nests").collect()] == ["q1"]
+
+
+def test_nested_documents_take_one_exchange(spark):
+    assert _plan(standins.nested_documents(spark, SF)).count("Exchange ") == 1
