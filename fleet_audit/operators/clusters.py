@@ -86,15 +86,12 @@ def anomalies(entries: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") != "text").alias("numbers"),
         F.count_if(F.col("kind") == "text").alias("texts"),
     )
-    differing = per_role.where("n > 1").select(
-        F.lit("differing_values").alias("kind"), "cluster", "role", none.alias("node"),
-        none.alias("file"), "key", "n",
-    )
-    unparseable = per_role.where("texts > 0 and numbers > texts").select(
-        F.lit("unparseable").alias("kind"), "cluster", "role", none.alias("node"),
-        none.alias("file"), "key", F.col("texts").alias("n"),
-    )
-    return repeated.unionByName(differing).unionByName(unparseable)
+    # Both kinds come from one reading of the entries.
+    kind = lambda met, name, n: F.when(F.expr(met), F.struct(F.lit(name).alias("kind"), F.col(n).alias("n")))
+    kinds = F.array(kind("n > 1", "differing_values", "n"), kind("texts > 0 and numbers > texts", "unparseable", "texts"))
+    odd = per_role.select("cluster", "role", "key", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("odd"))
+    of_role = odd.select("odd.kind", "cluster", "role", none.alias("node"), none.alias("file"), "key", "odd.n")
+    return repeated.unionByName(of_role)
 
 
 def diff_clusters(entries: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from fleet_audit.operators.clusters import anomalies
 from fleet_audit.operators.telemetry import latest_documents
 from fleet_audit.plans import registered, standins
 from fleet_audit.sources import queries, stores
@@ -66,3 +67,14 @@ def test_escaped_names_of_inner_stages_are_found(spark):
 
 def test_nested_documents_take_one_exchange(spark):
     assert _plan(standins.nested_documents(spark, SF)).count("Exchange ") == 1
+
+
+def test_a_small_table_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(standins, "ROWS_PER_TASK", 40)
+    customers = standins.table(spark, SF, "customer").count()
+    assert standins.node_files(spark, SF).rdd.getNumPartitions() == -(-customers // 40) > 1
+
+
+def test_anomalies_read_their_entries_twice(spark):
+    entries = spark.createDataFrame([("c", "r", "n", "f", "k", "1", "number")], "cluster string, role string, node string, file string, key string, raw string, kind string")
+    assert _plan(anomalies(entries), optimized=True).count("LogicalRDD") == 2
