@@ -354,6 +354,33 @@ def test_hot_terms_are_spread_and_skipped(spark, monkeypatch):
     assert all(not {"the", "of", "a"} & terms for terms in met)  # they are in every passage and decide nothing
 
 
+def test_search_in_blocks_equals_brute_force(spark, monkeypatch):
+    """Common terms only, so that every query meets most passages: they are scored in blocks, and no pair of a query and a posting is exchanged."""
+    from fleet_audit.operators import search as operators_search
+    from fleet_audit.operators import search_blocks
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    passages = [(f"p{i:03d}", " ".join(rng.choices(words, k=rng.randrange(1, 30))), rng.choice([None, 410, 420])) for i in range(250)]
+    passages += [(f"copy{i}", "w1 w2 w3", None) for i in range(30)]
+    queries = [(f"q{i}", " ".join(rng.choices(words, k=4)), rng.choice([405, 415, 425])) for i in range(40)]
+    monkeypatch.setattr(operators_search, "MOST_MET", 1000)
+    monkeypatch.setattr(operators_search, "_meet", None)
+    monkeypatch.setattr(search_blocks, "POSTINGS_PER_BLOCK", 300)
+    monkeypatch.setattr(search_blocks, "TERMS_PER_CHUNK", 50)
+    df = spark.createDataFrame([(i, t, "d", 1, None if v is None else f">={v}") for i, t, v in passages], schemas.PASSAGES).repartition(3)
+    asked = spark.createDataFrame([(q, t, str(v)) for q, t, v in queries] + [("unknown", "w1 w2", None)], "query_id string, query string, engine_version string")
+    got = sorted((r.query_id, r["rank"], r.passage_id, r.score) for r in search_recommendations(df, asked, 4, 0).collect())
+    assert got == _bm25(passages, [*queries, ("unknown", "w1 w2", 0)], 4)
+    # Copies of one passage under several gates are one, and rows of one id are questions of their own.
+    monkeypatch.setattr(operators_search, "MOST_MET", 0)
+    copied = [("p1", "heap limits", ">=420"), ("p1", "heap limits", None), ("p1", "heap limits", ">=420"), ("p1", "other words on heap", None), ("p2", "memory", ">=420")]
+    df = spark.createDataFrame([(i, t, "d", 1, v) for i, t, v in copied], schemas.PASSAGES).repartition(3)
+    asked = spark.createDataFrame([("q", "heap", "430"), ("q", "memory", "410"), ("s", "memory", "425")], "query_id string, query string, engine_version string")
+    found = sorted((r.query_id, r["rank"], r.passage_id, r.text) for r in search_recommendations(df, asked, 2, 0).collect())
+    assert found == [("q", 1, "p1", "heap limits"), ("q", 2, "p1", "other words on heap"), ("s", 1, "p2", "memory")]
+
+
 def test_stream_keeps_late_documents(spark, tmp_path):
     schema = "cluster string, query_id string, captured_at timestamp, snapshot_id long, document string"
     for batch in range(4):  # newest first
