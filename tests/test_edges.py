@@ -145,3 +145,8 @@ def test_checks_of_mixed_types_do_not_fail(spark, check, met):
 
     rows = spark.createDataFrame([(Decimal(8), "8"), (None, "production")], "value decimal(38,6), text string")
     assert [r[0] for r in rows.select(F.expr(typed_check(check))).collect()] == met
+
+
+def test_versions_and_gates_are_split_once():
+    assert str(version_array(F.col("v"))).count("split(") == 1
+    assert str(version_in_gate(version_array(F.col("v")), F.col("g"))).count("split(") == 1
