@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleet_audit.functions.bounds import MAX_CATALOGUE_ROWS
+from fleet_audit.functions.bounds import MAX_CATALOGUE_ROWS, in_large_slots
 from fleet_audit.sources.stores import materialize
 
 #: Most rows nested into one array by default.
@@ -18,11 +18,14 @@ ROWS_PER_PART = 10_000
 def _with_part(items: DataFrame, keys: list[str], names: list[str], rows_per_part: int, limit: int) -> DataFrame:
     """``items`` with ``part`` and ``parts``: the rows the items of their key are spread over.
 
-    Keys are counted first. Mostly none is too large, and then nothing is joined. A few
+    Keys are counted first, in slots of their hashes. Mostly none is too large, and then nothing is joined. A few
     large ones are broadcast after that count; more of them are joined by key.
     """
+    suspects = in_large_slots(items, keys, rows_per_part)
+    if suspects is None:
+        return items.withColumns({"parts": F.lit(1), "part": F.lit(0)})
     large = (
-        items.groupBy(*keys)
+        suspects.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*keys, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("parts"))
         .where("parts > 1")

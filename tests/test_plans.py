@@ -62,3 +62,12 @@ def test_ranking_limits_a_hot_key_before_the_shuffle(spark, build):
     text = plan(df)
     assert re.search(r"WindowGroupLimit .*Partial", text) and re.search(r"WindowGroupLimit .*Final", text)
     assert df.count() >= 40_001
+
+
+def test_coverage_reads_the_scans_once_and_medians_are_sorted(spark):
+    from fleet_audit.operators import median, report
+
+    tables = standins.telemetry(spark, SF)
+    text = plan(report.detector_coverage(tables))
+    assert len(re.findall(r"FileScan parquet [^\n]*lineitem", text)) == 5  # operators, tasks, scans, files of scans, and the tables that are listed
+    assert "ObjectHashAggregate" not in plan(median.grouped_median(tables["tasks"], ["cluster", "query_id", "stage_id"], "wall_ms"))
