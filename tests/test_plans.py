@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fleet_audit.operators import clusters, telemetry
+from fleet_audit.operators import audit, clusters, telemetry
 from fleet_audit.operators.enrich import best_rationale
 from fleet_audit.plans import registered, standins
 from fleet_audit.sources.queries import flatten_query, parse_snapshots
@@ -71,3 +71,11 @@ def test_coverage_reads_the_scans_once_and_medians_are_sorted(spark):
     text = plan(report.detector_coverage(tables))
     assert len(re.findall(r"FileScan parquet [^\n]*lineitem", text)) == 5  # operators, tasks, scans, files of scans, and the tables that are listed
     assert "ObjectHashAggregate" not in plan(median.grouped_median(tables["tasks"], ["cluster", "query_id", "stage_id"], "wall_ms"))
+
+
+def test_an_audit_parses_files_once(spark):
+    files = standins.config_files(spark, SF)
+    once = audit.audit_config(files, standins.rules(spark))
+    # Of the files' own text only assignments and JSON are read again, and no text is joined at backslashes for it.
+    assert "_text" not in once._jdf.queryExecution().optimizedPlan().toString()
+    assert "_text" not in plan(entry.queries()["context_independence"](spark, SF))
