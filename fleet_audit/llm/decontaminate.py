@@ -28,6 +28,8 @@ RADIUS = 16
 BLOCKS = 8
 #: Most places of shingles in all items that are sent to every executor; beyond it they are joined by hash.
 BROADCAST_SHINGLES = 200_000
+#: Most items that are sent to every executor under all keys of their balls (some 300 each); Spark takes these for one row each.
+BROADCAST_ITEMS = 1_000
 
 
 def words_of(text: Column) -> Column:
@@ -106,7 +108,8 @@ def find_contamination(
     filed = item_prints.select("item", F.col("length").alias("l"), F.col("print").alias("item_print"), F.explode(F.flatten(F.array(*(
         _ball(k, masks) for k in range(BLOCKS))))).alias("b"))
     looked_up = prints.select("key", "length", "print", F.explode(F.array(*(_block_key(F.col("print"), k) for k in range(BLOCKS)))).alias("b"))
-    near = looked_up.join(filed.withColumnRenamed("b", "fb"), (F.col("length") == F.col("l")) & (F.col("b") == F.col("fb")) & (distance(F.col("print"), F.col("item_print")) <= RADIUS))
+    filed = filed.withColumnRenamed("b", "fb").hint("broadcast" if items.count() <= BROADCAST_ITEMS else "merge")
+    near = looked_up.join(filed, (F.col("length") == F.col("l")) & (F.col("b") == F.col("fb")) & (distance(F.col("print"), F.col("item_print")) <= RADIUS))
     pairs = near.select("key", "length", "item").distinct()
 
     # Weighted Jaccard: the sum of the smaller counts over the sum of the larger ones.

@@ -21,6 +21,9 @@ BITS = 64
 #: Up to so many distinct fingerprints three segments (45 lookups each at radius 4) find few
 #: strangers in a bucket; beyond it two wider segments (562 lookups) do. The links are the same.
 WIDE_FROM = 1 << 25
+#: Most fingerprints that are sent to every executor under their two or three keys. Beyond it both sides are joined by key, as the hint must
+#: say: Spark takes the look-ups, some 45 or 560 a fingerprint, to be no larger than the fingerprints and would broadcast them.
+BROADCAST_PRINTS = 50_000
 
 
 def segment_plan(radius: int, segments: int) -> list[tuple[int, int, int]]:
@@ -61,10 +64,6 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _segments_for(prints: DataFrame) -> int:
-    return 3 if prints.count() <= WIDE_FROM else 2
-
-
 def _own_keys(plan: list[tuple[int, int, int]]) -> Column:
     return F.array(*(_key(k, _segment(F.col("print"), s, w)) for k, (s, w, _) in enumerate(plan)))
 
@@ -79,15 +78,17 @@ def hamming_links(prints: DataFrame, radius: int, segments: int | None = None, t
     ``prints`` has distinct rows of ``print`` (long) and ``n``, its number of rows; with ``table``, a column of
     that name keeps several sets of fingerprints apart. The result may hold a link twice.
     """
-    plan = segment_plan(radius, segments or _segments_for(prints))
+    count = prints.count()
+    plan = segment_plan(radius, segments or (3 if count <= WIDE_FROM else 2))
+    joined = "broadcast" if count <= BROADCAST_PRINTS else "merge"
     names = [table] if table else []
     filed = prints.select(*names, "print", "n", F.explode(_own_keys(plan)).alias("key"))
     centres = filed.groupBy(*names, "key").agg(F.max_by("print", F.struct("n", "print")).alias("centre"))
-    filed = filed.join(centres, [*names, "key"]).select(
+    filed = filed.join(centres.hint(joined), [*names, "key"]).select(
         *names, "key", F.col("print").alias("b"), "centre", (distance(F.col("print"), F.col("centre")) <= radius).alias("b_near"))
     looked_up = prints.select(*names, F.col("print").alias("a"), F.explode(_ball_keys(plan)).alias("key"))
     a_near = distance(F.col("a"), F.col("centre")) <= radius
     wanted = (F.col("b") == F.col("centre")) | ((F.col("a") < F.col("b")) & ~(F.col("b_near") & a_near))
     on = F.expr(" and ".join(f"l.{c} = f.{c}" for c in [*names, "key"]))
     close = (F.col("a") != F.col("b")) & (distance(F.col("a"), F.col("b")) <= radius)
-    return looked_up.alias("l").join(filed.alias("f"), on & close & wanted).select(*(F.col(f"l.{c}") for c in names), "a", "b")
+    return looked_up.alias("l").join(filed.alias("f").hint(joined), on & close & wanted).select(*(F.col(f"l.{c}") for c in names), "a", "b")

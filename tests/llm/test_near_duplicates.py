@@ -5,7 +5,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from fleet_audit.llm import near_duplicates
+from fleet_audit.llm import hamming, near_duplicates
 from fleet_audit.llm.hamming import ball_masks, hamming_links, segment_plan
 from fleet_audit.llm.near_duplicates import drop_near_duplicates, near_duplicate_classes
 from fleet_audit.llm.op8_simhash import op8_simhash_near_dedup
@@ -62,6 +62,21 @@ def test_a_dense_group_is_not_expanded_into_pairs(spark):
     assert links.count() < 60 * len(prints) < len(prints) ** 2 / 8
 
 
+def test_look_ups_are_not_broadcast(spark):
+    prints = spark.range(60_000).select(F.xxhash64("id").alias("print"), F.lit(1).cast("long").alias("n"))
+    plan = hamming_links(prints, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_broadcast_and_merged_links_are_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    prints = {sum(1 << b for b in rng.sample(range(63), rng.randrange(0, 3))) for _ in range(300)}
+    frame = spark.createDataFrame([(p, 1) for p in prints], "print long, n long")
+    few = {(r.a, r.b) for r in hamming_links(frame, 4).collect()}
+    monkeypatch.setattr(hamming, "BROADCAST_PRINTS", 10)
+    assert few == {(r.a, r.b) for r in hamming_links(frame, 4).collect()} and few
+
+
 def test_query_with_odd_rows(spark, tmp_path):
     base = " ".join(f"w{i}" for i in range(300))
     rows = [(9, base), (4, base), (7, base.replace("w5 ", "v5 ")), (1, "other words entirely here"), (2, None), (3, ""), (8, " \n"), (None, base), (4, base), (6, "A b"), (5, "a B")]
