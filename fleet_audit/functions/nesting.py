@@ -15,15 +15,15 @@ from fleet_audit.sources.stores import materialize
 ROWS_PER_PART = 10_000
 
 
-def _with_part(items: DataFrame, keys: list[str], names: list[str], rows_per_part: int, limit: int) -> DataFrame:
-    """``items`` with ``part`` and ``parts``: the rows the items of their key are spread over.
+def _with_part(items: DataFrame, keys: list[str], names: list[str], rows_per_part: int, limit: int) -> DataFrame | None:
+    """``items`` with ``part`` and ``parts``: the rows the items of their key are spread over; None when no key has more than one.
 
     Keys are counted first, in slots of their hashes. Mostly none is too large, and then nothing is joined. A few
     large ones are broadcast after that count; more of them are joined by key.
     """
     suspects = in_large_slots(items, keys, rows_per_part)
     if suspects is None:
-        return items.withColumns({"parts": F.lit(1), "part": F.lit(0)})
+        return None
     large = (
         suspects.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -32,7 +32,7 @@ def _with_part(items: DataFrame, keys: list[str], names: list[str], rows_per_par
     )
     rows = large.limit(limit + 1).collect()
     if not rows:
-        return items.withColumns({"parts": F.lit(1), "part": F.lit(0)})
+        return None
     known = large if len(rows) > limit else F.broadcast(items.sparkSession.createDataFrame(rows, large.schema))
     small = items.join(known, keys, "left_anti").withColumns({"parts": F.lit(1), "part": F.lit(0)})
     numbered = _numbered(items.join(known, keys), keys, [F.col(n).asc_nulls_last() for n in names])
@@ -76,13 +76,14 @@ def nest_all(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
         [df.select(*keys, item.alias(name)) for name, (df, item) in kinds.items()],
     )
-    arrays = [F.sort_array(F.collect_list(name)) for name in names]
-    return (
-        _with_part(items, keys, names, rows_per_part, broadcast_limit)
-        .groupBy(*keys, "part")
-        .agg(F.max("parts").alias("parts"), *[a.alias(n) for a, n in zip(arrays, names)])
-        .withColumns({n: F.when(F.size(n) > 0, F.col(n)) for n in names})
-    )
+    arrays = [F.sort_array(F.collect_list(name)).alias(name) for name in names]
+    parted = _with_part(items, keys, names, rows_per_part, broadcast_limit)
+    if parted is None:
+        # Grouped by nothing but the keys, what is nested lies right for a join by them and is not exchanged again.
+        nested = items.groupBy(*keys).agg(*arrays).select(*keys, F.lit(0).alias("part"), F.lit(1).alias("parts"), *names)
+    else:
+        nested = parted.groupBy(*keys, "part").agg(F.max("parts").alias("parts"), *arrays)
+    return nested.withColumns({n: F.when(F.size(n) > 0, F.col(n)) for n in names})
 
 
 def nest_rows(df: DataFrame, keys: list[str], item: Column, name: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:

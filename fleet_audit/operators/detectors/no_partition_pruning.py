@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleet_audit.findings import to_findings
+from fleet_audit.functions.bounds import broadcast_if_small
 from fleet_audit.functions.text import plain_number
 from fleet_audit.operators.predicates import classify_predicate
 from fleet_audit.operators.references import table_keys
@@ -18,16 +19,17 @@ INPUTS = ("scans", "table_files")
 
 
 def detect(tables: Mapping[str, DataFrame], thresholds: DataFrame | Thresholds) -> DataFrame:
-    scans = classify_predicate(tables["scans"])
-    scanned = scans.groupBy("fleet", "cluster", "query_id", "table_id").agg(
-        F.countDistinct("part").alias("scanned"),
-        F.max(F.when(F.col("predicate_class") == "wrapped_predicate", 1)).alias("wrapped"),
-        F.max(F.when(F.col("predicate_class") != "no_predicate", 1)).alias("predicated"),
-    )
+    scan = ["fleet", "cluster", "query_id", "table_id"]
+    marked = classify_predicate(tables["scans"]).select(
+        *scan, "part", F.when(F.col("predicate_class") == "wrapped_predicate", 1).alias("wrapped"),
+        F.when(F.col("predicate_class") != "no_predicate", 1).alias("predicated"))
+    # Partitions are counted where the rows of a scan lie together; else they are exchanged twice, once with their partition.
+    scanned = marked.repartition(*scan).groupBy(*scan).agg(
+        F.countDistinct("part").alias("scanned"), F.max("wrapped").alias("wrapped"), F.max("predicated").alias("predicated"))
     keys = table_keys(tables["table_files"])
     total = tables["table_files"].groupBy(*keys).agg(F.countDistinct("part").alias("total"))
     rated = with_thresholds(
-        scanned.join(total.where("total > 1"), keys).withColumn(
+        scanned.join(broadcast_if_small(total.where("total > 1")), keys).withColumn(
             "ratio", F.col("scanned") / F.col("total")
         ),
         thresholds, NAME, "scanned_ratio",

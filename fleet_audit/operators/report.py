@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleet_audit.findings import all_findings
+from fleet_audit.functions.bounds import broadcast_if_small
 from fleet_audit.functions.nesting import ROWS_PER_PART, nest_rows
 from fleet_audit.operators.detectors import Detector, registry
 from fleet_audit.operators.detectors.not_the_querys_fault import NAME as QUEUED
@@ -17,6 +18,10 @@ from fleet_audit.operators.thresholds import Thresholds
 
 _QUERY = ["cluster", "query_id"]
 
+#: Most different wordings of findings (what a rule always says) that are told by number while findings are exchanged.
+MAX_WORDINGS = 1_000
+_BEFORE, _BEHIND = ("rule_id", "severity", "property"), ("expected", "rationale", "rationale_source")
+
 
 def runnable(tables: Mapping[str, DataFrame], detectors: Mapping[str, Detector] | None = None) -> dict[str, Detector]:
     """Detectors whose input tables are all present."""
@@ -55,7 +60,8 @@ def detector_coverage(
         bits = F.lit(sum(bit[n] for n in always)).cast("long")
         for name in found:
             keys = table_keys(tables[name])
-            frame = frame.join(tables[name].select(*keys).distinct().withColumn(f"_in_{name}", F.lit(bit[name])), keys, "left")
+            described = broadcast_if_small(tables[name].select(*keys).distinct())
+            frame = frame.join(described.withColumn(f"_in_{name}", F.lit(bit[name])), keys, "left")
             bits = bits + F.coalesce(F.col(f"_in_{name}"), F.lit(0))
         return frame.select(*_QUERY, bits.alias("_bits"))
 
@@ -84,6 +90,40 @@ def detector_coverage(
     return flags.select(*_QUERY, "query_state", run.alias("detectors_run"), skipped.alias("detectors_skipped"))
 
 
+def _nested_findings(findings: DataFrame, rows_per_part: int) -> DataFrame:
+    """``cluster, query_id, part, parts, findings``, the findings in reading order.
+
+    A rule says the same of every query, in few wordings. They are numbered in their order, so findings are exchanged and sorted with two
+    numbers instead of these texts and without the query's own id, and get them back where they are nested.
+    """
+    rank, own_id = finding_rank().alias("rank"), lambda e, value: e.withField("query_id", value)
+    rows = findings.select(rank, *_BEFORE, *_BEHIND).distinct().limit(MAX_WORDINGS + 1).collect()
+    if not 0 < len(rows) <= MAX_WORDINGS:
+        return nest_rows(findings, _QUERY, F.struct(rank, *_BEFORE, "actual", *_BEHIND, "evidence", "doc_ref"), "findings", rows_per_part)
+    in_order = lambda texts: sorted(set(texts), key=lambda text: [(value is not None, value) for value in text])
+    before, behind = in_order((r.rank, *(r[c] for c in _BEFORE)) for r in rows), in_order(tuple(r[c] for c in _BEHIND) for r in rows)
+    wordings = findings.sparkSession.createDataFrame(
+        [(before.index((r.rank, *(r[c] for c in _BEFORE))), behind.index(tuple(r[c] for c in _BEHIND)), *(r[c] for c in (*_BEFORE, *_BEHIND))) for r in rows],
+        "_before int, _behind int, " + ", ".join(f"_of_{c} string" for c in (*_BEFORE, *_BEHIND)))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*_BEFORE, *_BEHIND)])
+    nothing = F.lit(None).cast("string")
+    item = F.struct("_before", "actual", "_behind", own_id(F.col("evidence"), nothing).alias("evidence"), "doc_ref")
+    nested = nest_rows(findings.join(F.broadcast(wordings), same), _QUERY, item, "findings", rows_per_part)
+
+    def listed(texts: list[tuple], names: tuple[str, ...]) -> Column:
+        return F.array(*[F.struct(*[F.lit(v).cast("int" if n == "rank" else "string").alias(n) for n, v in zip(names, text)]) for text in texts])
+
+    heads, tails = listed(before, ("rank", *_BEFORE)), listed(behind, _BEHIND)
+
+    def whole(found: Column) -> Column:
+        head, tail = F.get(heads, found["_before"]), F.get(tails, found["_behind"])
+        return F.struct(
+            *[head[c].alias(c) for c in ("rank", *_BEFORE)], found["actual"].alias("actual"), *[tail[c].alias(c) for c in _BEHIND],
+            own_id(found["evidence"], F.col("query_id")).alias("evidence"), found["doc_ref"].alias("doc_ref"))
+
+    return nested.withColumn("findings", F.transform("findings", whole))
+
+
 def query_reports(
     tables: Mapping[str, DataFrame],
     findings: DataFrame,
@@ -95,13 +135,7 @@ def query_reports(
     Give it findings that were written to a store: they are read twice, once to size
     the rows. Findings beyond ``rows_per_part`` continue in rows with a higher ``part``.
     """
-    item = F.struct(
-        finding_rank().alias("rank"), "rule_id", "severity", "property", "actual", "expected",
-        "rationale", "rationale_source", "evidence", "doc_ref",
-    )
-    nested = nest_rows(
-        findings.withColumn("query_id", F.col("evidence.query_id")), _QUERY, item, "findings", rows_per_part
-    )
+    nested = _nested_findings(findings.withColumn("query_id", F.col("evidence.query_id")), rows_per_part)
     return (
         detector_coverage(tables, detectors)
         .join(nested, _QUERY, "left")

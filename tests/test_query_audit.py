@@ -124,6 +124,16 @@ def test_reports_tell_what_ran(tables, found):
     assert len(rows["empty"].detectors_skipped) == 8
 
 
+def test_reports_exchange_wordings_as_numbers_and_give_them_back(spark, tables, found, monkeypatch):
+    again = found.union(found.withColumns({"severity": F.lit(None).cast("string"), "actual": F.lit("9")}))
+    reports = lambda: report.query_reports(tables, again).select("cluster", "query_id", "part", "parts", "findings")
+    assert "_before" in reports()._jdf.queryExecution().optimizedPlan().toString()
+    numbered = sorted(str(r) for r in reports().collect())
+    assert any("rationale='" in text for text in numbered)
+    monkeypatch.setattr(report, "MAX_WORDINGS", 0)
+    assert numbered == sorted(str(r) for r in reports().collect())
+
+
 def test_missing_tables_skip_detectors(spark, tables):
     fewer = {k: v for k, v in tables.items() if k not in ("table_files", "column_stats")}
     row = report.detector_coverage(fewer).where("query_id = 'skew+'").first()
