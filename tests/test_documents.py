@@ -1,5 +1,6 @@
 """Query documents as coordinators write them: nested stages, units, repeated captures, fleets."""
 
+import inspect
 import json
 
 import pytest
@@ -9,7 +10,8 @@ from fleet_audit.functions.text import data_bytes, duration_ms
 from fleet_audit.operators import report
 from fleet_audit.operators.thresholds import default_thresholds, with_overrides
 from fleet_audit.sources import stores
-from fleet_audit.sources.queries import flat_tables, flatten_query, parse_snapshots, read_query_documents, stage_rows
+from fleet_audit.sources.queries import READ_OFTEN, flat_tables, flatten_query, parse_snapshots, read_query_documents, stage_rows, tables_to_judge
+from fleet_audit.streaming import ingest
 from tests.test_query_audit import document
 
 
@@ -93,3 +95,13 @@ def test_tasks_of_documents_and_of_the_runtime_tables(spark):
         ("q", "1"): ("f", 5.0, "n1", "400", "both"), ("q", "2"): ("f", 8.0, "n2", None, "both"),
         ("q", "3"): ("f", 7.0, None, None, "document"), ("p", "1"): (None, 1.0, None, None, "runtime")}
     assert merge_tasks(saved.limit(0), seen.limit(0)).count() == 0
+
+
+def test_tables_that_detectors_read_often_are_taken_out_of_documents_once(spark):
+    body = {"stages": [{"stage_id": "s", "operators": [{"operator_id": "o", "operator": "join", "input_rows": 1}], "tasks": [{"task_id": "t", "wall_ms": 2}]}], "scans": [{"table": "x"}]}
+    docs = spark.createDataFrame([("f", "c", "q", json.dumps(body))], "fleet string, cluster string, query_id string, document string")
+    judged, flat = tables_to_judge(docs), flat_tables(docs)
+    for name in READ_OFTEN:
+        assert "variant" not in judged[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert judged[name].collect() == flat[name].collect() != []
+    assert inspect.signature(ingest.analyze_stream).parameters["tables_of"].default is tables_to_judge
