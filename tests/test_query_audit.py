@@ -426,3 +426,11 @@ def test_retention_risk(spark):
     snapshots = spark.createDataFrame([("c", "saved")], "cluster string, query_id string")
     got = ingest.retention_risk(snapshots, runtime, 5 * 86400, "2024-01-10")
     assert [r.query_id for r in got.collect()] == ["old"]
+
+
+def test_queries_times_passages_exchange_little():
+    from fleet_audit.operators.search_blocks import blocks_and_chunks
+
+    entries, terms = 300_000_000, 1_900_000
+    blocks, chunks = blocks_and_chunks(entries, terms)
+    assert entries * chunks + terms * blocks < 500_000_000
