@@ -134,6 +134,15 @@ def test_reports_exchange_wordings_as_numbers_and_give_them_back(spark, tables,
     assert numbered == sorted(str(r) for r in reports().collect())
 
 
+def test_scans_are_not_exchanged_to_meet_a_few_tables(spark, tables):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [registry()["missing_stats"].detect(tables, default_thresholds(spark)), report.detector_coverage(tables)]
+        assert all("SortMergeJoin" not in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_missing_tables_skip_detectors(spark, tables):
     fewer = {k: v for k, v in tables.items() if k not in ("table_files", "column_stats")}
     row = report.detector_coverage(fewer).where("query_id = 'skew+'").first()
